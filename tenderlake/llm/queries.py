@@ -7,11 +7,29 @@ from pyspark.sql import DataFrame, SparkSession
 from tenderlake.llm.common import read_table
 
 
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tenderlake.llm.packing import pack_documents
+
+    return pack_documents(read_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), with_ids=False)
+
+
+def op5_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tenderlake.llm.bpe import encode_documents
+
+    return encode_documents(read_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), with_ids=False).drop("ids")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tenderlake.llm.rules import quality_rules
 
     return quality_rules(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op7_quality_rules": op7_quality_rules}
+QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op5_bpe_roundtrip, op7_quality_rules)}
 SQL: dict[str, str] = {}
