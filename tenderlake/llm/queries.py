@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tenderlake.llm.common import read_table
 
@@ -19,6 +20,15 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), with_ids=False)
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grade 0: rated low; 1: rated high but toxic; 2: rated high and clean."""
+    from tenderlake.llm.grading import grade_documents
+
+    labels = read_table(spark, sf_dir, "labels")
+    grade = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).when((F.col("quality") == 1) & (F.col("toxic") == 0), 2)
+    return grade_documents(read_table(spark, sf_dir, "documents"), labels.select("doc_id", grade.alias("grade")))
+
+
 def op5_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tenderlake.llm.bpe import encode_documents
 
@@ -31,5 +41,14 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op5_bpe_roundtrip, op7_quality_rules)}
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tenderlake.llm.language import identify_language
+
+    docs = read_table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2, F.lit(False))
+    got = identify_language(docs, ~held_out)
+    return got.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op4_quality_classifier, op5_bpe_roundtrip, op7_quality_rules, op9_language_id)}
 SQL: dict[str, str] = {}
