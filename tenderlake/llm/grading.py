@@ -40,12 +40,13 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray, bits: int, steps: int, ridge: float, min_docs: int) -> tuple[np.ndarray, np.ndarray]:
+def fit(rows: list[np.ndarray], grades: np.ndarray, bits: int, steps: int, ridge: float, sparse: float, min_docs: int) -> tuple[np.ndarray, np.ndarray]:
     """Shared weights and ordered thresholds: P(grade <= k) = sigmoid(threshold_k - score).
 
     Thresholds are the first one plus positive gaps, so they stay ordered.
-    Each grade counts the same; terms in fewer than ``min_docs`` texts get
-    no weight.
+    Each grade counts the same. Terms in fewer than ``min_docs`` texts get no
+    weight, and a soft threshold of ``sparse`` after each step holds most
+    others at zero: few words carry the grade.
     """
     n_grades = int(grades.max()) + 1
     size = 1 << bits
@@ -71,6 +72,7 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, bits: int, steps: int, ridge
             m[0] = 0.9 * m[0] + 0.1 * gradient
             m[1] = 0.99 * m[1] + 0.01 * gradient**2
             param -= 0.05 * m[0] / (1 - 0.9**step) / (np.sqrt(m[1] / (1 - 0.99**step)) + 1e-8)
+        w[:] = np.sign(w) * np.maximum(np.abs(w) - 0.05 * sparse, 0)
     return w.astype(np.float32), np.cumsum(np.concatenate([raw[:1], np.exp(raw[1:])]))
 
 
@@ -81,15 +83,15 @@ def grade_probabilities(score: np.ndarray, cuts: np.ndarray) -> np.ndarray:
 
 def grade_documents(
     docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade",
-    sample: int = 12_000, bits: int = 18, steps: int = 120, ridge: float = 2e-5, min_docs: int = 4, select_from: int | None = None,
+    sample: int = 12_000, bits: int = 18, steps: int = 200, ridge: float = 3e-4, sparse: float = 0.3, min_share: float = 0.005, keep_good: float = 0.97, select_from: int | None = None,
 ) -> DataFrame:
     """``(id, expected_grade, tail_probability, kept)`` for every row, from its whole text.
 
     ``ratings`` has an id and an integer grade from 0. About ``sample`` rated
     texts, chosen by a hash of the id, train the model in one task (the bound
-    is the model's size, not the data's); a fifth of them set the tail
-    probability from which a document is kept, where recall of good ones plus
-    recall of bad ones is highest. The tail is grades from ``select_from``, by
+    is the model's size, not the data's); a fifth of them, not learned from,
+    set the tail probability from which a document is kept, so that
+    ``keep_good`` of the good ones are. The tail is grades from ``select_from``, by
     default the top one. Null texts count as empty, null ids are scored,
     repeated rows are scored alike, ratings with nulls are ignored; with
     fewer than two grades to learn from everything is kept at a null grade.
@@ -114,14 +116,13 @@ def grade_documents(
         apart = keys % 5 == 0
         if len(set(grades[~apart])) < 2 or grades[~apart].max() < grades.max():
             apart[:] = False
-        w, cuts = fit([r for r, x in zip(rows, apart, strict=True) if not x], grades[~apart], bits, steps, ridge, min_docs)
+        w, cuts = fit([r for r, x in zip(rows, apart, strict=True) if not x], grades[~apart], bits, steps, ridge, sparse, max(2, int(min_share * (~apart).sum())))
         test = np.flatnonzero(apart) if apart.any() else np.arange(len(rows))
         top = select_from if select_from is not None else int(grades.max())
         tail = grade_probabilities(np.array([w[rows[i]].sum() for i in test]), cuts)[:, top:].sum(1)
         good = grades[test] >= top
-        tries = np.unique(np.round(tail, 3))
-        gain = [(tail[good] >= t).sum() / max(good.sum(), 1) + (tail[~good] < t).sum() / max((~good).sum(), 1) for t in tries]
-        yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()]), pa.array([cuts.tobytes()]), pa.array([float(tries[int(np.argmax(gain))])]), pa.array([top], pa.int32())], ["w", "cuts", "least", "top"])
+        least = float(np.quantile(tail[good], 1 - keep_good)) if good.any() else 0.5
+        yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()]), pa.array([cuts.tobytes()]), pa.array([least]), pa.array([top], pa.int32())], ["w", "cuts", "least", "top"])
 
     model = chosen.repartition(1).mapInArrow(train, "w binary, cuts binary, least double, top int").first()
 
