@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Words of either of two generations that a worker keeps encoded, and the longest word that is kept.
-CACHED_WORDS, CACHED_CHARS = 150_000, 48
+CACHED_WORDS, CACHED_CHARS = 350_000, 40
 
 #: Lower-case Latin letters, in composed form: one piece for any version of Unicode.
 PLAIN = regex.compile(r"[a-zß-öø-ÿ]+").fullmatch
@@ -223,7 +223,8 @@ class Tokenizer:
         self.m = MergeList(path)
         library = Library.from_file(path)
         self.normal, self.split = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
-        self.words: dict[str, tuple[tuple[int, ...], str, str]] = {}
+        self.decimal = {t: str(i) for t, i in self.m.ids.items()}
+        self.words: dict[str, tuple[int, str, str]] = {}
         self.older = self.words
 
     def encode_piece(self, piece: str) -> list[str]:
@@ -235,41 +236,44 @@ class Tokenizer:
             out += stream.push(symbol)
         return out + stream.finish()
 
-    def _word(self, word: str) -> tuple[tuple[int, ...], str, str]:
-        """A word that isn't among the newer ones; letters and one mark, or capitals, come from plainer words."""
+    def _word(self, word: str) -> tuple[int, str, str]:
+        """A word that isn't among the newer ones: how many ids, the ids as decimals, the decoded form."""
         if (got := self.older.get(word)) is None:
-            if word[-1] in ".," and PLAIN(word, 0, len(word) - 1):
-                parts = [self.words.get(x) or self._word(x) for x in (word[:-1], word[-1])]
-                return parts[0][0] + parts[1][0], f"{parts[0][1]} {parts[1][1]}", f"{parts[0][2]} {parts[1][2]}"
-            if word.isascii() and word.isalpha() and not word.islower():
-                low = word.lower()
-                return self.words.get(low) or self._word(low)
-            if PLAIN(word):
-                pieces = ["".join(map(self.m.bytes.__getitem__, word.encode()))]
+            if word[-1] in ".," and PLAIN(word, 0, len(word) - 1):  # two pieces
+                (n, a, b), (m, c, d) = (self.words.get(x) or self._word(x) for x in (word[:-1], word[-1]))
+                got = n + m, f"{a} {c}", f"{b} {d}"
             else:
-                pieces = [piece for piece, _ in self.split(self.normal(word))]
-            ids = [self.m.ids[t] for piece in pieces for t in self.encode_piece(piece)]
-            got = (*ids,), " ".join(map(str, ids)), self.decode(ids)
+                if word.isascii() and word.isalpha():
+                    tokens = self.encode_piece(word)
+                elif PLAIN(word):
+                    tokens = self.encode_piece("".join(map(self.m.bytes.__getitem__, word.encode())))
+                else:
+                    tokens = [t for piece, _ in self.split(self.normal(word)) for t in self.encode_piece(piece)]
+                got = len(tokens), " ".join(map(self.decimal.__getitem__, tokens)), " ".join(tokens)
         if len(word) <= CACHED_CHARS:
             if len(self.words) >= CACHED_WORDS:
                 self.words, self.older = {}, self.words
             self.words[word] = got
         return got
 
-    def pieces(self, text: str) -> Iterator[tuple[tuple[int, ...], str, str]]:
-        """For each word: ids, ids as decimals, decoded form; words without tokens are left out."""
+    def pieces(self, text: str) -> list[tuple[int, str, str]]:
+        """For each word with tokens: how many, the ids as decimals, the decoded form."""
+        out = []
         for i, part in enumerate(self.m.marks.split(text)):
             if i % 2:
-                token = self.m.special[part]
-                yield (token,), str(token), part
+                out.append((1, str(self.m.special[part]), part))
                 continue
-            for word in SPACE.split(part) if ODD_SPACE.search(part) else part.split():
-                got = self.words.get(word) or self._word(word)
-                if got[0]:
-                    yield got
+            if "Σ" not in part:  # which Python lowers by its place in the word
+                part = part.lower()
+            words, look = SPACE.split(part) if ODD_SPACE.search(part) else part.split(), self.words.get
+            out += [look(w) or self._look(w) for w in words if w]
+        return [x for x in out if x[0]]
+
+    def _look(self, word: str) -> tuple[int, str, str]:
+        return self.words.get(word) or self._word(word)
 
     def encode(self, text: str) -> list[int]:
-        return [i for ids, _, _ in self.pieces(text) for i in ids]
+        return [int(i) for x in self.pieces(text) for i in x[1].split(" ")]
 
     def decode(self, ids: list[int] | tuple[int, ...], form: str = "tokens") -> str:
         if form == "tokens":
@@ -295,9 +299,9 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
         for batch in batches:
             n, ids, sha, text_sha = [], [], [], []
             for text in batch.column(1):
-                got = [*tok.pieces(text.as_py() or "")]
-                n.append(sum(len(x[0]) for x in got))
-                ids.append([i for x in got for i in x[0]] if with_ids else None)
+                got = tok.pieces(text.as_py() or "")
+                n.append(sum([x[0] for x in got]))
+                ids.append([int(i) for x in got for i in x[1].split(" ")] if with_ids else None)
                 sha.append(hashlib.sha256(" ".join([x[1] for x in got]).encode()).hexdigest())
                 text_sha.append(hashlib.sha256(" ".join([x[2] for x in got]).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays(
