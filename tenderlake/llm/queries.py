@@ -35,6 +35,12 @@ def op5_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(read_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), with_ids=False).drop("ids")
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tenderlake.llm.pii import find_personal_data
+
+    return find_personal_data(read_table(spark, sf_dir, "documents"), redact=False).drop("redacted")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tenderlake.llm.rules import quality_rules
 
@@ -50,5 +56,5 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op4_quality_classifier, op5_bpe_roundtrip, op7_quality_rules, op9_language_id)}
+QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op4_quality_classifier, op5_bpe_roundtrip, op6_personal_data, op7_quality_rules, op9_language_id)}
 SQL: dict[str, str] = {}
