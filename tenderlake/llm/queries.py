@@ -14,6 +14,12 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tenderlake.llm.minhash import near_duplicates
+
+    return near_duplicates(read_table(spark, sf_dir, "documents"), percent=85)
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tenderlake.llm.packing import pack_documents
 
@@ -56,5 +62,5 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op4_quality_classifier, op5_bpe_roundtrip, op6_personal_data, op7_quality_rules, op9_language_id)}
+QUERIES = {f.__name__: f for f in (op2_minhash, op3_best_fit_packing, op4_quality_classifier, op5_bpe_roundtrip, op6_personal_data, op7_quality_rules, op9_language_id)}
 SQL: dict[str, str] = {}
