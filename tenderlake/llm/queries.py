@@ -53,6 +53,14 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read_table(spark, sf_dir, "documents"))
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With ``n_near`` of the search whose queries are the documents whose id is divisible by 100."""
+    from tenderlake.llm.fingerprints import count_near, fingerprint_documents
+
+    prints = fingerprint_documents(read_table(spark, sf_dir, "documents"))
+    return count_near(prints, F.col("doc_id") % 100 == 0).drop("simhash")
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tenderlake.llm.language import identify_language
 
@@ -62,5 +70,11 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op2_minhash, op3_best_fit_packing, op4_quality_classifier, op5_bpe_roundtrip, op6_personal_data, op7_quality_rules, op9_language_id)}
+def op10_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tenderlake.llm.suffixes import remove_repeats
+
+    return remove_repeats(read_table(spark, sf_dir, "documents")).drop("kept")
+
+
+QUERIES = {f.__name__: f for f in (op2_minhash, op3_best_fit_packing, op4_quality_classifier, op5_bpe_roundtrip, op6_personal_data, op7_quality_rules, op8_simhash, op9_language_id, op10_suffix_repeats)}
 SQL: dict[str, str] = {}
