@@ -14,6 +14,13 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tenderlake.llm.lines import dedup_lines
+
+    out = dedup_lines(read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tenderlake.llm.minhash import near_duplicates
 
@@ -76,5 +83,5 @@ def op10_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(read_table(spark, sf_dir, "documents")).drop("kept")
 
 
-QUERIES = {f.__name__: f for f in (op2_minhash, op3_best_fit_packing, op4_quality_classifier, op5_bpe_roundtrip, op6_personal_data, op7_quality_rules, op8_simhash, op9_language_id, op10_suffix_repeats)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_minhash, op3_best_fit_packing, op4_quality_classifier, op5_bpe_roundtrip, op6_personal_data, op7_quality_rules, op8_simhash, op9_language_id, op10_suffix_repeats)}
 SQL: dict[str, str] = {}
