@@ -136,7 +136,7 @@ def verified_links(members: DataFrame, fewest: int, percent: int) -> DataFrame:
     the likeliest first; a pair that is already connected needs no test.
     """
 
-    def check(key, table: pa.Table) -> pa.Table:
+    def check(key, table):  # without type hints: Spark tries to resolve them
         _, i, j = (k.as_py() for k in key)
         order = np.argsort(table["doc"].to_numpy())
         doc, n, block = (table[c].to_numpy()[order] for c in ("doc", "n", "block"))
