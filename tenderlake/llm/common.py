@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from typing import ClassVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +27,9 @@ class Scratch:
     a laptop) a temporary folder is made.
     """
 
+    #: All that were opened and not yet closed in this process, so that a caller can close those of a call that is over.
+    opened: ClassVar[list[Scratch]] = []
+
     def __init__(self, spark: SparkSession, name: str):
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
         if not base:
@@ -34,6 +38,8 @@ class Scratch:
         self.spark = spark
         self.root = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
         self.n = 0
+        self.live: set[str] = set()
+        Scratch.opened.append(self)
 
     def cut(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -41,7 +47,7 @@ class Scratch:
         before = self.spark.conf.get(SHUFFLE_CLEANUP, None)
         self.spark.conf.set(SHUFFLE_CLEANUP, "true")
         try:
-            df.write.parquet(path)
+            df.write.option("compression", "zstd").parquet(path)
         finally:
             if before is None:
                 self.spark.conf.unset(SHUFFLE_CLEANUP)
@@ -49,12 +55,30 @@ class Scratch:
                 self.spark.conf.set(SHUFFLE_CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
+        self.live.add(path)
         return out
 
     def drop(self, df: DataFrame) -> None:
         """Delete a table that nothing will read again."""
+        self._delete(df.scratch_path)
+        self.live.discard(df.scratch_path)
+
+    def keep_only(self, df: DataFrame) -> DataFrame:
+        """Delete all other tables, and return this one."""
+        for path in self.live - {df.scratch_path}:
+            self._delete(path)
+        self.live = {df.scratch_path}
+        return df
+
+    def close(self) -> None:
+        self._delete(self.root)
+        self.live = set()
+        if self in Scratch.opened:
+            Scratch.opened.remove(self)
+
+    def _delete(self, path: str) -> None:
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        path = jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+        path = jvm.org.apache.hadoop.fs.Path(path)
         path.getFileSystem(conf).delete(path, True)
 
 

@@ -225,4 +225,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = classes.join(roots, "rep", "left").select("c1", "c2", "n", F.coalesce("root", "rep").alias("component"))
     out = sigs.drop("sig").join(named, ["c1", "c2", "n"], "left")
     component = F.coalesce(F.when(F.col("doc").isNotNull(), F.col("component")), F.col("doc"))
-    return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc") == component, F.lit(True)).alias("kept"))
+    out = out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc") == component, F.lit(True)).alias("kept"))
+    return scratch.keep_only(scratch.cut(out))

@@ -260,7 +260,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("hash"), text.cast("binary").alias("bytes"))
     found = repeated_suffixes(scratch, keyed, length, q)
-    spans = scratch.cut(found.groupBy("doc", "hash").agg(F.collect_set(F.struct("first", "last")).alias("runs")))
+    spans = scratch.keep_only(scratch.cut(found.groupBy("doc", "hash").agg(F.collect_set(F.struct("first", "last")).alias("runs"))))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
