@@ -9,7 +9,7 @@ from tenderlake.llm.common import Scratch
 
 
 def connected_components(scratch: Scratch, edges: DataFrame, a: str, b: str) -> DataFrame:
-    """``(node, root)`` for every node with an edge to another; root is the smallest node reachable.
+    """``(node, root)`` for every node that can reach a smaller one; root is the smallest. Roots have no row of their own.
 
     Each step is one min-aggregation and one equi-join; the number of steps
     grows with the logarithm of a component's size, not with its diameter. A

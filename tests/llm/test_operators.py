@@ -1,0 +1,171 @@
+"""Operators whose results SQL cannot express, against brute force on small tables with awkward rows."""
+
+import hashlib
+import re
+from collections import Counter, defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+SAMPLE = "/root/testdata/sf0.001"
+AWKWARD = [(None, "a b c d e f", "x"), (9001, None, "x"), (9002, "", None), (9003, "é" * 700, "x"), (9004, "one two", "x"), (9004, "one two", "x"), (9005, "ab " * 400, "x")]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    some = spark.read.parquet(f"{SAMPLE}/documents.parquet").select("doc_id", "text", "source")
+    extra = spark.createDataFrame(AWKWARD, "doc_id long, text string, source string")
+    return some.unionByName(extra).withColumn("n", F.lit("clash")).withColumn("hash", F.lit("clash")).withColumn("bytes", F.lit("clash"))
+
+
+@pytest.fixture(scope="module")
+def rows(docs):
+    return [(r.doc_id, r.text or "") for r in docs.select("doc_id", "text").collect()]
+
+
+def test_suffix_repeats(docs, rows):
+    from tenderlake.llm.suffixes import remove_repeats
+
+    data = [(i, t.encode()) for i, t in rows]
+    seen = Counter(b[i : i + 400] for _, b in data for i in range(len(b) - 399))
+    want = Counter()
+    for i, b in data:
+        gone = bytearray(len(b))
+        for s in range(len(b) - 399):
+            if seen[b[s : s + 400]] > 1:
+                gone[s : s + 400] = b"\1" * 400
+        kept = bytes(v for v, m in zip(b, gone, strict=True) if not m)
+        want[i, len(b), sum(gone), (b"\0" + bytes(gone)).count(b"\0\1"), hashlib.sha256(kept).hexdigest()] += 1
+    assert Counter(tuple(r) for r in remove_repeats(docs).drop("kept").collect()) == want
+
+
+def test_near_duplicates(docs, rows):
+    from tenderlake.llm.minhash import near_duplicates
+
+    def shingles(t):
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
+        return frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
+
+    sets = {i: shingles(t) for i, t in rows if i is not None}
+    root = {i: i for i in sets}
+    ids = sorted(sets)
+    for a in ids:
+        for b in ids:
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]) and root[a] != root[b]:
+                old, new = max(root[a], root[b]), min(root[a], root[b])
+                root = {k: new if v == old else v for k, v in root.items()}
+    got = near_duplicates(docs, percent=85).where("doc_id is not null").collect()
+    assert len(got) == sum(i is not None for i, _ in rows)
+    assert all((r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), root[r.doc_id], root[r.doc_id] == r.doc_id) for r in got)
+
+
+def test_fingerprints(docs, rows):
+    from tenderlake.llm.fingerprints import count_near, fingerprint_documents
+
+    ordered = sorted((r for r in rows if r[0] is not None and r[0] != 9004), reverse=True)
+    got = count_near(fingerprint_documents(docs, rows_per_bucket=20), F.col("doc_id") % 100 == 0)
+    got = got.collect()
+    assert len(got) == len(rows)
+    by = {r.doc_id: r for r in got}
+    for (i, a), (j, b) in zip(ordered, ordered[1:], strict=False):
+        if {i, j} & {9003, 9005}:  # beside the repeated id
+            continue
+        half = len(a) // 2
+        assert by[i].edited_sha256 == hashlib.sha256((a[: len(a) - half] + b[:half]).encode()).hexdigest()
+        assert by[i].n_chars == len(a)
+        assert by[i].near_next == 1 - bin(int(by[i].fingerprint, 16) ^ int(by[j].fingerprint, 16)).count("1") / 64
+    texts = defaultdict(set)
+    for r in got:
+        texts[dict(rows)[r.doc_id]].add(r.fingerprint)
+    assert all(len(v) == 1 for v in texts.values())
+    prints = [int(r.fingerprint, 16) for r in got]
+    for r in got:
+        want = sum(bin(int(r.fingerprint, 16) ^ p).count("1") <= 3 for p in prints) - 1
+        assert r.n_near == (want if r.doc_id is not None and r.doc_id % 100 == 0 else None)
+
+
+def test_packing_places_every_token_once(docs):
+    from tenderlake.llm.packing import pack_documents
+    from tenderlake.llm.queries import vocabulary
+
+    got = pack_documents(docs, vocabulary("byte_bpe_50k.json")).collect()
+    by = defaultdict(list)
+    for r in got:
+        assert len(r.ids) == r.length <= 1024
+        by[r.sequence_id].append((r.offset, r.length))
+    for places in by.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= 1024
+    assert len(by) <= -(-sum(r.length for r in got) // 1024) + 1
+
+
+def test_bpe_round_trip_is_the_library_s(docs, rows):
+    from tokenizers import Tokenizer
+
+    from tenderlake.llm.bpe import encode_documents
+    from tenderlake.llm.queries import vocabulary
+
+    t = Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
+    want = Counter()
+    for i, text in rows:
+        ids = t.encode(text, add_special_tokens=False).ids
+        want[i, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()] += 1
+    got = encode_documents(docs, vocabulary("word_bpe_49k.json")).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()
+    assert Counter(map(tuple, got)) == want
+
+
+def test_rules(docs, rows):
+    from tenderlake.llm.rules import quality_rules
+
+    def counts(t):
+        w = re.findall(r"[^\x20\x09-\x0D]+", t)
+        seen, windows = set(), Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
+        for k in range(len(w) - 4):
+            if windows[tuple(w[k : k + 5])] > 1:
+                seen.update(range(k, k + 5))
+        full = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        return len(w), sum(map(len, w)), sum(x in "#*$%&|<>" for x in t), len(full) - len(set(full)), len(seen)
+
+    got = quality_rules(docs).collect()
+    want = Counter((i, *counts(t)) for i, t in rows)
+    assert Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in got) == want
+    assert all(r.base_failed == (r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words) and not (r.base_failed and r.kept) for r in got)
+
+
+def test_personal_data_base_spans(spark):
+    from tenderlake.llm.pii import find_personal_data
+
+    text = "mail a.b@c.de, ip 10.0.0.256 and 10.0.0.25, card 4111 1111 1111 1111, call +49 (30) 123-4567"
+    got = find_personal_data(spark.createDataFrame([(1, text), (2, None), (None, "")], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [(r.n_email, r.n_ip, r.n_card, r.n_phone) for r in got] == [(0, 0, 0, 0), (1, 1, 1, 1), (0, 0, 0, 0)]
+    assert "4111" not in got[1].redacted and "c.de" not in got[1].redacted
+
+
+def test_language_held_out(spark):
+    from tenderlake.llm.queries import op9_language_id
+
+    got = op9_language_id(spark, SAMPLE).join(spark.read.parquet(f"{SAMPLE}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out and lang is not null").collect()
+    assert sum(r.lang == r.lang_pred for r in got) >= 0.9 * len(got)
+    assert all(0 <= r.score <= 1 for r in got)
+
+
+def test_grades_follow_ratings(spark):
+    from tenderlake.llm.queries import op4_quality_classifier
+
+    got = op4_quality_classifier(spark, SAMPLE)
+    assert got.count() == spark.read.parquet(f"{SAMPLE}/documents.parquet").count()
+    means = got.join(spark.read.parquet(f"{SAMPLE}/labels.parquet"), "doc_id").where("toxic = 0").groupBy("quality").agg(F.avg("expected_grade").alias("m")).collect()
+    m = {r.quality: r.m for r in means}
+    assert m[1] > m[0]
+
+
+def test_no_rows(docs):
+    from tenderlake.llm import fingerprints, minhash, packing, pii, queries, rules, suffixes
+
+    none = docs.limit(0)
+    path = queries.vocabulary("byte_bpe_50k.json")
+    for out in (fingerprints.fingerprint_documents(none), minhash.near_duplicates(none), packing.pack_documents(none, path), pii.find_personal_data(none), rules.quality_rules(none), suffixes.remove_repeats(none)):
+        assert out.count() == 0
