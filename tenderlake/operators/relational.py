@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -65,6 +66,26 @@ def disjunctive_join(a: DataFrame, b: DataFrame, columns: Sequence[str], keep: C
     return reduce(DataFrame.unionByName, shaped)
 
 
+def similar_topk(df: DataFrame, key: str, weights: Mapping[str, int], k: int) -> DataFrame:
+    """``(a_key, b_key, score, rank)``: for every row the ``k`` others that agree with it in columns of the most weight, ties by key.
+
+    Whoever is among them is also among the first ``k`` others of those that
+    agree in at least the same columns, so each group of each set of columns
+    gives k + 1 rows, and no pairs of whole groups are made. Weights are
+    positive; nulls agree with nothing; ``key`` is unique.
+    """
+    columns, pairs = list(weights), []
+    rows = df.select(F.col(key).alias("a_key"), *[F.col(c).alias(f"a_{c}") for c in columns])
+    for n in range(len(columns), 0, -1):
+        for some in combinations(columns, n):
+            known = reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in some])
+            first = top_k(df.where(known), some, [F.asc(key)], k + 1).select(F.col(key).alias("b_key"), *[F.col(c).alias(f"b_{c}") for c in columns])
+            pairs.append(rows.join(first, [F.col(f"a_{c}") == F.col(f"b_{c}") for c in some]).where("a_key != b_key"))
+    score = reduce(lambda x, y: x + y, [F.when(F.col(f"a_{c}") == F.col(f"b_{c}"), w).otherwise(0) for c, w in weights.items()])
+    met = reduce(DataFrame.unionByName, pairs).select("a_key", "b_key", score.cast("long").alias("score")).distinct()
+    return top_k(met, ["a_key"], [F.desc("score"), F.asc("b_key")], k)
+
+
 def k_hop(edges: DataFrame, seed: DataFrame, depth: int) -> DataFrame:
     """``(node, hops)``: nodes within ``depth`` steps of the seed, with the fewest steps. ``edges``: src, dst."""
     reached = seed.select(F.col("node"), F.lit(0).cast("long").alias("hops")).distinct()

@@ -31,10 +31,11 @@ class Tables:
         return self._spark.read.parquet(f"{self._dir}/{name}.parquet")
 
 
-def query(sql: str):
+def query(sql: str | None):
     def register(f: Callable[[Tables], DataFrame]):
         QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
-        SQL[f.__name__] = sql
+        if sql:
+            SQL[f.__name__] = sql
         return f
 
     return register
@@ -147,6 +148,12 @@ def disjunctive_similarity(t):
     return pairs.select(F.col("a_p_partkey").alias("a_key"), F.col("b_p_partkey").alias("b_key"), (points[0] + points[1] + points[2]).cast("long").alias("score"))
 
 
+@query(None)  # in SQL every pair would be made first
+def similar_parts(t):
+    """The ten most similar partners of every part; ``disjunctive_similarity`` lists all partners of one class of parts."""
+    return r.similar_topk(t.part, "p_partkey", {"p_brand": 40, "p_type": 25, "p_size": 20}, 10)
+
+
 @query("""SELECT c_custkey, o.o_orderkey FROM customer LEFT JOIN LATERAL (SELECT o_orderkey FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 1) o ON true""")
 def lateral_top1(t):
     best = r.latest_per_key(t.orders.select("o_custkey", "o_orderkey", "o_totalprice"), ["o_custkey"], [F.desc("o_totalprice"), F.asc("o_orderkey")])

@@ -63,3 +63,27 @@ def test_ingest_takes_new_files_once(spark, tmp_path):
         spark.createDataFrame(rows, "k int, t int, v string").coalesce(1).write.mode("append").parquet(src)
         ingest.ingest_changes(spark, src, "k int, t int, v string", to, cp, ["k"], ["t"])
     assert sorted(map(tuple, ingest.current_rows(spark, to, ["k"], ["t"]).collect())) == [(1, 3, "c"), (2, 1, "d")]
+
+
+def test_similar_topk_is_brute_force_over_all_rows(spark):
+    import random
+
+    rng = random.Random(6)
+    rows = [(i, *[rng.choice([None, *"xyz"[:n]]) for n in (2, 3, 3)]) for i in range(60)]
+    df = spark.createDataFrame(rows, "k long, b string, t string, s string")
+    score = lambda p, q: sum(w for x, y, w in zip(p[1:], q[1:], (40, 25, 20), strict=True) if x is not None and x == y)
+    want = set()
+    for p in rows:
+        best = sorted((-score(p, q), q[0]) for q in rows if q is not p and score(p, q))[:4]
+        want |= {(p[0], b, -s, i + 1) for i, (s, b) in enumerate(best)}
+    assert set(map(tuple, r.similar_topk(df, "k", {"b": 40, "t": 25, "s": 20}, 4).collect())) == want
+
+
+def test_similar_parts_has_every_part(spark):
+    from tenderlake.plans.catalogue import QUERIES
+
+    data = "/root/testdata/sf0.001"
+    part = spark.read.parquet(f"{data}/part.parquet").select("p_partkey", "p_brand", "p_type", "p_size").collect()
+    points = lambda p, q: sum(w for x, y, w in zip(p[1:], q[1:], (40, 25, 20), strict=True) if x is not None and x == y)
+    want = {(p[0], b, -s) for p in part for s, b in sorted((-points(p, q), q[0]) for q in part if p[0] != q[0] and points(p, q))[:10]}
+    assert {(x.a_key, x.b_key, x.score) for x in QUERIES["similar_parts"](spark, data).collect()} == want
