@@ -4,16 +4,21 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 from typing import ClassVar
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: ASCII white space, as the word class ``[^\x20\x09-\x0D]+`` has it.
 SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
 #: With this setting Spark deletes a query's shuffle files when the query ends; what is cut is read from its table.
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+#: The struct in which an operator carries further columns of its input to its result.
+ROW = "_row"
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -84,3 +89,14 @@ class Scratch:
 
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
+def carried(docs: DataFrame, columns: Sequence[str]) -> list[Column]:
+    """The named columns as one struct ``_row``, so that no name clashes with an operator's own; nothing if none is named."""
+    return [F.struct(*[docs[f"`{c}`"].alias(c) for c in columns]).alias(ROW)] if columns else []
+
+
+def schema_with_row(ddl: str, own: DataFrame) -> StructType:
+    """The schema of a map over ``own`` that adds its ``_row`` as the last column, if it has one."""
+    schema = StructType.fromDDL(ddl)
+    return schema.add(own.schema[ROW]) if ROW in own.columns else schema

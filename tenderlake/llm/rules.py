@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tenderlake.llm.common import SPACES, Scratch
+from tenderlake.llm.common import ROW, SPACES, Scratch, carried, schema_with_row
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
+#: So many hosts' verdicts are broadcast at most; beyond it they are joined by shuffle.
+BROADCAST_HOSTS = 200_000
 
 STATS = (
     "_doc long, _host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
@@ -62,13 +64,14 @@ def document_stats(text: str | None) -> tuple[int, int, int, int, int]:
     )
 
 
-def quality_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", symbol_share: float = 0.1, line_share: float = 0.3) -> DataFrame:
+def quality_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", symbol_share: float = 0.1, line_share: float = 0.3, carry: Sequence[str] = ()) -> DataFrame:
     """The counts of each document and which rules it fails.
 
     ``base_failed``: under ten words, or over a fifth of the words in repeated
     five-word windows. ``soft_failed``: that, or more than ``symbol_share``
     symbols a word, or more than ``line_share`` of its lines repeat. A null
-    text has no words, so it fails; null ids and hosts pass through.
+    text has no words, so it fails; null ids and hosts pass through, and so
+    do the columns to ``carry``, as a struct ``_row``.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,24 +85,28 @@ def quality_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 out.append((n, chars, symbols, dup, rep, base, soft))
             columns = [*zip(*out, strict=True)] or [()] * 7
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), *(pa.array(c, pa.int64()) for c in columns[:5]), *(pa.array(c, pa.bool_()) for c in columns[5:])],
-                ["_doc", "_host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "soft_failed"],
+                [batch.column(0), batch.column(2), *(pa.array(c, pa.int64()) for c in columns[:5]), *(pa.array(c, pa.bool_()) for c in columns[5:]), *batch.columns[3:]],
+                ["_doc", "_host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "soft_failed", *batch.schema.names[3:]],
             )
 
-    own = docs.select(F.col(id_col).cast("long").alias("_doc"), F.col(text_col).cast("string").alias("_text"), F.col(host_col).cast("string").alias("_host"))
-    return own.mapInArrow(rows, STATS)
+    own = docs.select(F.col(id_col).cast("long").alias("_doc"), F.col(text_col).cast("string").alias("_text"), F.col(host_col).cast("string").alias("_host"), *carried(docs, carry))
+    return own.mapInArrow(rows, schema_with_row(STATS, own))
 
 
-def host_verdicts(stats: DataFrame, most: float = 0.5) -> DataFrame:
+def host_counts(stats: DataFrame) -> DataFrame:
+    """``(_host, n, failed)``, with a map-side combine: a host with a third of all rows costs one row a task."""
+    return stats.where(F.col("_host").isNotNull()).groupBy("_host").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("soft_failed").cast("long")).alias("failed"))
+
+
+def host_verdicts(hosts: DataFrame, multiple: float = 3.0, sure: float = 1.645) -> DataFrame:
     """``(_host, host_rate, host_bad)``: failure rates shrunk to the fitted beta prior.
 
     The prior's mean and strength are fitted to the hosts' rates by moments
-    (three sums over hosts, one row to the driver). A host is bad if its
-    posterior mean failure rate is over ``most``; few documents alone cannot
-    make it so unless hosts in general fail. Hosts are counted with a
-    map-side combine, so a host with a third of all rows costs one row a task.
+    (three sums over hosts, one row to the driver). A host is bad if its rate
+    is over ``multiple`` times the prior's mean with a chance of 95 %: the
+    posterior mean less ``sure`` posterior standard deviations is. A few
+    unlucky documents cannot make it so, and where all hosts fail alike none is.
     """
-    hosts = stats.where(F.col("_host").isNotNull()).groupBy("_host").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("soft_failed").cast("long")).alias("failed"))
     rate = F.col("failed") / F.col("n")
     fit = hosts.agg(F.count(F.lit(1)).alias("k"), F.avg(rate).alias("mean"), F.coalesce(F.var_samp(rate), F.lit(0.0)).alias("var"), F.avg(1 / F.col("n")).alias("inv")).first()
     mean = min(max(fit["mean"] if fit["mean"] is not None else 0.5, 1e-3), 1 - 1e-3)
@@ -107,22 +114,29 @@ def host_verdicts(stats: DataFrame, most: float = 0.5) -> DataFrame:
     between = max((fit["var"] or 0.0) - within, 1e-6)
     strength = min(max(mean * (1 - mean) / between - 1, 2.0), 1e4)
     shrunk = (F.col("failed") + F.lit(strength * mean)) / (F.col("n") + F.lit(strength))
-    return hosts.select("_host", shrunk.alias("host_rate"), (shrunk > most).alias("host_bad"))
+    deviation = F.sqrt(shrunk * (1 - shrunk) / (F.col("n") + F.lit(strength + 1)))
+    return hosts.select("_host", shrunk.alias("host_rate"), (shrunk - sure * deviation > min(multiple * mean, 1.0)).alias("host_bad"))
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", most: float = 0.5) -> DataFrame:
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", multiple: float = 3.0, carry: Sequence[str] = ()) -> DataFrame:
     """One row per input row: its counts, ``host_rate``, ``base_failed`` and ``kept``.
 
     A document goes if it fails a base rule, or if its host is bad and it
     fails a soft rule itself; a clean document on a bad host stays, and so do
     documents without a host. Repeated rows are judged alike; an empty table
-    gives an empty table; other columns of ``docs`` are not read.
+    gives an empty table. Columns to ``carry`` are passed on in a struct
+    ``_row``: the rules then run twice, for the hosts and for the result, and
+    texts are neither written nor shuffled. Other columns are not read.
     """
     scratch = Scratch(docs.sparkSession, "rules")
-    stats = scratch.cut(quality_stats(docs, id_col, text_col, host_col))
-    judged = stats.join(host_verdicts(stats, most), "_host", "left")
+    stats = quality_stats(docs, id_col, text_col, host_col)
+    stats = stats if carry else scratch.cut(stats)
+    verdicts = scratch.cut(host_verdicts(scratch.cut(host_counts(stats)), multiple))
+    if verdicts.count() <= BROADCAST_HOSTS:
+        verdicts = F.broadcast(verdicts)
+    judged = (quality_stats(docs, id_col, text_col, host_col, carry=carry) if carry else stats).join(verdicts, "_host", "left")
     bad = F.coalesce(F.col("host_bad"), F.lit(False)) & F.col("soft_failed")
     return judged.select(
         F.col("_doc").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & ~bad).alias("kept"), F.col("_host").alias("host"), "host_rate",
+        (~F.col("base_failed") & ~bad).alias("kept"), F.col("_host").alias("host"), "host_rate", *([ROW] if carry else []),
     )
