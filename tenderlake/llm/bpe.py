@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Words of either of two generations that a worker keeps encoded, and the longest word that is kept.
 CACHED_WORDS, CACHED_CHARS = 350_000, 40
+#: A text is encoded and hashed in parts of about so many code points, cut at white space.
+PART = 1 << 16
 
 #: Lower-case Latin letters, in composed form: one piece for any version of Unicode.
 PLAIN = regex.compile(r"[a-zß-öø-ÿ]+").fullmatch
@@ -48,6 +50,7 @@ class MergeList:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.text = {i: t for t, i in self.ids.items()} | {i: t for t, i in self.special.items()}
         self.bytes = byte_alphabet()
+        self.byte_of = {c: b for b, c in self.bytes.items()}
         lacking = [c for c in self.bytes.values() if c not in self.ids or c + self.suffix not in self.ids]
         if lacking:
             raise ValueError(f"the vocabulary lacks the byte symbols {lacking[:5]}")
@@ -193,7 +196,7 @@ class StreamingDecoder:
     def __init__(self, merges: MergeList, form: str = "tokens"):
         self.m, self.form, self.first = merges, form, True
         self.utf8 = codecs.getincrementaldecoder("utf-8")("replace")
-        self.byte = {c: b for b, c in merges.bytes.items()}
+        self.byte = merges.byte_of
 
     def push(self, token_id: int) -> str:
         token = self.m.text[token_id]
@@ -228,7 +231,7 @@ class Tokenizer:
         self.older = self.words
 
     def encode_piece(self, piece: str) -> list[str]:
-        """Tokens of one word of byte symbols; a word that ends within the lookahead needs no window."""
+        """Tokens of one word of byte symbols. A word that ends within the lookahead is all window, so its merges are applied at once; of a longer one tokens leave as they become final."""
         if len(piece) <= self.m.lookahead:
             return self.m.merge([*piece[:-1], piece[-1] + self.m.suffix])
         stream, out = StreamingEncoder(self.m), []
@@ -237,47 +240,54 @@ class Tokenizer:
         return out + stream.finish()
 
     def _word(self, word: str) -> tuple[int, str, str]:
-        """A word that isn't among the newer ones: how many ids, the ids as decimals, the decoded form."""
+        """A word that isn't among the newer ones: how many ids, the ids as decimals, the text that they decode to.
+
+        Normalising changes each character by itself or composes neighbours
+        without white space, so a word is normalised as it is within its text.
+        Words of plain letters need no more than lower case.
+        """
         if (got := self.older.get(word)) is None:
-            if word[-1] in ".," and PLAIN(word, 0, len(word) - 1):  # two pieces
-                (n, a, b), (m, c, d) = (self.words.get(x) or self._word(x) for x in (word[:-1], word[-1]))
-                got = n + m, f"{a} {c}", f"{b} {d}"
+            body = word[:-1] if len(word) > 1 and word[-1] in ".," else word
+            if body.isascii() and body.isalpha():
+                pieces = [body.lower()]
+            elif PLAIN(body):
+                pieces = ["".join(map(self.m.bytes.__getitem__, body.encode()))]
             else:
-                if word.isascii() and word.isalpha():
-                    tokens = self.encode_piece(word)
-                elif PLAIN(word):
-                    tokens = self.encode_piece("".join(map(self.m.bytes.__getitem__, word.encode())))
-                else:
-                    tokens = [t for piece, _ in self.split(self.normal(word)) for t in self.encode_piece(piece)]
-                got = len(tokens), " ".join(map(self.decimal.__getitem__, tokens)), " ".join(tokens)
+                body, pieces = word, [piece for piece, _ in self.split(self.normal(word))]
+            tokens = [t for piece in (pieces if body is word else [*pieces, word[-1]]) for t in self.encode_piece(piece)]
+            state = StreamingDecoder(self.m)
+            got = len(tokens), " ".join(map(self.decimal.__getitem__, tokens)), "".join([state.push(self.m.ids[t]) for t in tokens]) + state.finish()
         if len(word) <= CACHED_CHARS:
             if len(self.words) >= CACHED_WORDS:
                 self.words, self.older = {}, self.words
             self.words[word] = got
         return got
 
-    def pieces(self, text: str) -> list[tuple[int, str, str]]:
-        """For each word with tokens: how many, the ids as decimals, the decoded form."""
-        out = []
-        for i, part in enumerate(self.m.marks.split(text)):
-            if i % 2:
-                out.append((1, str(self.m.special[part]), part))
-                continue
-            if "Σ" not in part:  # which Python lowers by its place in the word
-                part = part.lower()
-            words, look = SPACE.split(part) if ODD_SPACE.search(part) else part.split(), self.words.get
-            out += [look(w) or self._look(w) for w in words if w]
-        return [x for x in out if x[0]]
+    def pieces(self, text: str) -> Iterator[list[tuple[int, str, str]]]:
+        """By parts of the text, for each word with tokens: how many, the ids as decimals, the decoded form."""
+        begin = 0
+        while begin < len(text):
+            after = SPACE.search(text, begin + PART) if begin + PART < len(text) else None
+            end = after.start() if after else len(text)
+            out = []
+            for i, part in enumerate(self.m.marks.split(text[begin:end])):
+                if i % 2:
+                    out.append((1, str(self.m.special[part]), part))
+                    continue
+                if part.isascii():
+                    part = part.lower()
+                words, look = SPACE.split(part) if ODD_SPACE.search(part) else part.split(), self.words.get
+                out += [look(w) or self._look(w) for w in words if w]
+            yield [x for x in out if x[0]]
+            begin = end
 
     def _look(self, word: str) -> tuple[int, str, str]:
         return self.words.get(word) or self._word(word)
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for x in self.pieces(text) for i in x[1].split(" ")]
+        return [int(i) for part in self.pieces(text) for x in part for i in x[1].split(" ")]
 
     def decode(self, ids: list[int] | tuple[int, ...], form: str = "tokens") -> str:
-        if form == "tokens":
-            return " ".join(map(self.m.text.__getitem__, ids))
         state = StreamingDecoder(self.m, form)
         return "".join(map(state.push, ids)) + state.finish()
 
@@ -290,22 +300,36 @@ def tokenizer(path: str) -> Tokenizer:
 def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """One row per input row: its id, ``n_tokens``, ``ids``, and digests of the ids and of the decoded text.
 
-    Null and empty texts have no tokens; repeated rows are encoded alike;
-    other columns are not read. ``with_ids=False`` leaves ``ids`` null.
+    Words leave the transducer as tokens and come back through the decoder's
+    state machine; both are remembered by word, in a bounded store. A text is
+    taken in parts, whose ids and decoded text go straight into the digests.
+
+    Null and empty texts have no tokens; null ids pass through; a word of any
+    length is encoded in constant memory beside it; repeated rows are encoded
+    alike; an empty table gives an empty table; other columns are not read.
+    ``with_ids=False`` leaves ``ids`` null.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(path)
         for batch in batches:
-            n, ids, sha, text_sha = [], [], [], []
+            n, ids, digests = [], [], ([], [])
             for text in batch.column(1):
-                got = tok.pieces(text.as_py() or "")
-                n.append(sum([x[0] for x in got]))
-                ids.append([int(i) for x in got for i in x[1].split(" ")] if with_ids else None)
-                sha.append(hashlib.sha256(" ".join([x[1] for x in got]).encode()).hexdigest())
-                text_sha.append(hashlib.sha256(" ".join([x[2] for x in got]).encode()).hexdigest())
+                count, listed, hashes = 0, [] if with_ids else None, (hashlib.sha256(), hashlib.sha256())
+                for part in tok.pieces(text.as_py() or ""):
+                    if part:
+                        gap = " " if count else ""
+                        for which, sha in enumerate(hashes, 1):
+                            sha.update((gap + " ".join([x[which] for x in part])).encode())
+                        count += sum([x[0] for x in part])
+                        if with_ids:
+                            listed += [int(i) for x in part for i in x[1].split(" ")]
+                n.append(count)
+                ids.append(listed)
+                for out, sha in zip(digests, hashes, strict=True):
+                    out.append(sha.hexdigest())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(sha, pa.string()), pa.array(text_sha, pa.string())],
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.list_(pa.int32())), *(pa.array(x, pa.string()) for x in digests)],
                 ["_doc", "n_tokens", "ids", "ids_sha256", "decoded_sha256"],
             )
 

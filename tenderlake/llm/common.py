@@ -28,8 +28,9 @@ class Scratch:
     """Tables written to the folder that the cluster shares, to cut lineage.
 
     A lost executor then costs a re-read, not a recomputation. The folder is
-    ``spark.checkpoint.dir`` of the session; only where that is unset (tests,
-    a laptop) a temporary folder is made.
+    ``spark.checkpoint.dir`` of the session. Where that is unset a temporary
+    folder is made, but only on a local master, as in tests; on a cluster its
+    executors would not see it.
     """
 
     #: All that were opened and not yet closed in this process, so that a caller can close those of a call that is over.
@@ -37,9 +38,10 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        if not base and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         if not base:
             base = tempfile.mkdtemp(prefix="spark-")
-            spark.conf.set("spark.checkpoint.dir", base)
         self.spark = spark
         self.root = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
         self.n = 0

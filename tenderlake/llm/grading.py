@@ -14,7 +14,15 @@ from pyspark.sql import functions as F
 WORD = re.compile(r"\w+")
 
 
-def shape(text: str) -> list[str]:
+def capitals(text: str, lower: str) -> int:
+    """How many characters of the whole text differ from their lower case."""
+    if len(text) != len(lower):  # a letter whose lower case is two
+        return sum(c != c.lower() for c in text)
+    a, b = (np.frombuffer(x.encode("utf-32-le", "surrogatepass"), "<u4") for x in (text, lower))
+    return int(np.count_nonzero(a != b))
+
+
+def shape(text: str, lower: str) -> list[str]:
     """What the text looks like, as a few terms: each a property and its bucket."""
     n, words, lines = max(len(text), 1), text.split(), text.split("\n")
     repeat = 1 - len(set(words)) / max(len(words), 1)
@@ -25,14 +33,15 @@ def shape(text: str) -> list[str]:
         f"\0words{min(14, len(words).bit_length())}",
         f"\0length{min(12, int(n / max(len(words), 1)))}",
         f"\0same{int(8 * (1 - len(set(lines)) / len(lines)))}",
-        f"\0upper{int(8 * sum(1 for c in text[::7] if c.isupper()) * 7 / n)}",
+        f"\0upper{int(8 * capitals(text, lower) / n)}",
     ]
 
 
 def terms(text: str, bits: int) -> np.ndarray:
     """Hash buckets of the distinct words of the whole text and of its shape."""
-    words = set(WORD.findall(text.lower()))
-    words.update(shape(text))
+    lower = text.lower()
+    words = set(WORD.findall(lower))
+    words.update(shape(text, lower))
     return np.unique(np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words), np.uint32, len(words)) >> np.uint32(32 - bits))
 
 
@@ -93,7 +102,8 @@ def grade_documents(
     set the tail probability from which a document is kept, so that
     ``keep_good`` of the good ones are. The tail is grades from ``select_from``, by
     default the top one. Null texts count as empty, null ids are scored,
-    repeated rows are scored alike, ratings with nulls are ignored; with
+    repeated rows are scored alike, very long texts whole, an empty table
+    gives an empty table, ratings with nulls are ignored; with
     fewer than two grades to learn from everything is kept at a null grade.
     """
     rated = ratings.select(F.col(id_col).cast("long").alias("_doc"), F.col(grade_col).cast("int").alias("_grade")).where("_doc is not null and _grade >= 0").dropDuplicates(["_doc"])

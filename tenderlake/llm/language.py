@@ -60,15 +60,15 @@ def identify_language(
     ``per_lang`` labelled texts of each language, chosen by a hash of the id,
     train the model in one task; that bound is the model's, not the data's.
     A null text or one without a letter is ``und`` with score 0, and so is
-    every text if there is nothing to learn from. Repeated rows are judged
-    alike; other columns are not read.
+    every text if there is nothing to learn from. Rows with null ids are judged
+    too, repeated rows alike, very long texts whole; an empty table gives an
+    empty table; other columns are not read.
     """
     schema = "names array<string>, marks binary, weights binary"
     labelled = docs.where(learn_from & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    counts = {r[0]: r[1] for r in labelled.groupBy(lang_col).count().collect()}
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, per_lang / n))]) if counts else F.create_map()
+    counts = labelled.groupBy(F.col(lang_col).alias("_lang")).agg(F.count(F.lit(1)).alias("_n"))  # one row a label: stays on the executors
     draw = F.pmod(F.xxhash64(F.lit("language"), id_col), F.lit(1 << 30)) / float(1 << 30)
-    sample = labelled.where(draw < share[F.col(lang_col)]) if counts else labelled.limit(0)
+    sample = labelled.select(F.col(text_col).cast("string").alias("_t"), F.col(lang_col).alias("_lang"), draw.alias("_draw")).join(counts, "_lang").where(F.col("_draw") < F.lit(float(per_lang)) / F.col("_n"))
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, langs = [], []
@@ -80,8 +80,7 @@ def identify_language(
             names, marks, weights = fit([texts[i] for i in order], [langs[i] for i in order], landmarks, most, bits, ridge)
             yield pa.RecordBatch.from_arrays([pa.array([names]), pa.array([np.packbits(marks > 0, axis=1).tobytes()]), pa.array([weights.tobytes()])], ["names", "marks", "weights"])
 
-    own = sample.select(F.col(text_col).cast("string").alias("_t"), F.col(lang_col).cast("string").alias("_l"))
-    model = own.repartition(1).mapInArrow(train, schema).first()
+    model = sample.select("_t", F.col("_lang").cast("string")).repartition(1).mapInArrow(train, schema).first()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if model:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tenderlake.llm.common import Scratch
+from tenderlake.llm.minhash import mix, word_hashes
 
 #: Bytes that are hashed together.
 CHUNK = 1 << 20
@@ -232,6 +233,42 @@ def repeated_suffixes(scratch: Scratch, docs: DataFrame, length: int, q: int) ->
     return found.select(*columns).unionByName(more.select(*columns)).unionByName(ends.select(*columns))
 
 
+def passage_marks(docs: DataFrame, words: int, gram: int) -> DataFrame:
+    """``(doc, hash, mark)``: of each ``words`` neighbouring words the run of ``gram`` words that has the least hash."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owner, marks = [], []
+            for row, text in enumerate(batch.column(2)):
+                h = word_hashes(text.as_py())
+                if len(h) >= words:
+                    up, down = powers(len(h))
+                    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * up)])
+                    least = np.unique(window_minima(mix((total[gram:] - total[:-gram]) * down[: len(h) - gram + 1]), words - gram + 1))
+                    owner.append(np.full(len(least), row, np.int32))
+                    marks.append(least.view(np.int64))
+            if owner:
+                take = pa.array(np.concatenate(owner))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(np.concatenate(marks))], ["doc", "hash", "mark"])
+
+    return docs.select("doc", "hash", "bytes").mapInArrow(rows, "doc long, hash long, mark long")
+
+
+def shared_passages(scratch: Scratch, docs: DataFrame, words: int = 51, gram: int = 40) -> DataFrame:
+    """``(doc, hash, n_passages)``: how many marks another document has too.
+
+    Documents that share a passage of ``words`` words share its mark, so it is
+    counted; one of fewer than ``gram`` words is not. A mark with very many
+    documents is one row a task before the shuffle, and the join back is one
+    that AQE splits.
+    """
+    marks = scratch.cut(passage_marks(docs, words, gram))
+    common = marks.groupBy("mark").agg(F.min(F.xxhash64("doc", "hash")).alias("_a"), F.max(F.xxhash64("doc", "hash")).alias("_b")).where("_a != _b").select("mark")
+    out = scratch.cut(marks.join(common, "mark", "left_semi").groupBy("doc", "hash").agg(F.count(F.lit(1)).alias("n_passages")))
+    scratch.drop(marks)
+    return out
+
+
 def covered(first: np.ndarray, last: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Maximal spans of bytes that the strings cover."""
     order = np.argsort(first, kind="stable")
@@ -241,7 +278,7 @@ def covered(first: np.ndarray, last: np.ndarray, length: int) -> tuple[np.ndarra
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, q: int = 160) -> DataFrame:
-    """Per row: its id, ``n_bytes, n_removed, n_spans, kept_sha256`` and ``kept`` (the remaining bytes, binary).
+    """Per row: its id, ``n_bytes, n_removed, n_spans, kept_sha256``, ``kept`` (the remaining bytes, binary) and ``n_passages``.
 
     Removed is each UTF-8 byte covered by a string of ``length`` bytes that
     also starts at another place of any text, judged on the input. Suffixes
@@ -251,6 +288,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     one that is equal to another throughout is settled, so each round has
     only the edges of repeats and one stand-in for each kind of settled runs left. Buckets are known by 128 bits of hash.
 
+    ``n_passages`` counts passages of over 50 words that another document has
+    too, see :func:`shared_passages`; 51 words often have fewer than 400
+    bytes, and such a passage is told of but not removed.
+
     Null text is empty; texts shorter than ``length`` lose nothing; repeated
     rows are repeats of each other, whatever their ids, null ids included;
     an empty table gives an empty table; other columns are not read. One hot
@@ -259,6 +300,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     scratch = Scratch(docs.sparkSession, "suffixes")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("hash"), text.cast("binary").alias("bytes"))
+    passages = shared_passages(Scratch(docs.sparkSession, "passages"), keyed)
     found = repeated_suffixes(scratch, keyed, length, q)
     spans = scratch.keep_only(scratch.cut(found.groupBy("doc", "hash").agg(F.collect_set(F.struct("first", "last")).alias("runs"))))
 
@@ -275,9 +317,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 n_spans.append(len(at))
                 sha.append(hashlib.sha256(left).hexdigest())
                 kept.append(left)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in (n, removed, n_spans)), pa.array(sha, pa.string()), pa.array(kept, pa.binary())], ["_doc", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in (n, removed, n_spans)), pa.array(sha, pa.string()), pa.array(kept, pa.binary()), batch.column(3)], ["_doc", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "n_passages"])
 
     nothing = F.array().cast("array<struct<first:bigint,last:bigint>>")
     joined = docs.select(F.col(id_col).cast("long").alias("_doc"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("hash"), text.cast("binary").alias("bytes"))
-    joined = joined.join(spans, ["doc", "hash"], "left").select("_doc", "bytes", F.coalesce("runs", nothing).alias("runs"))
-    return joined.mapInArrow(rows, "_doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary").withColumnRenamed("_doc", id_col)
+    joined = joined.join(spans, ["doc", "hash"], "left").join(passages, ["doc", "hash"], "left").select("_doc", "bytes", F.coalesce("runs", nothing).alias("runs"), F.coalesce("n_passages", F.lit(0)).cast("long").alias("n_passages"))
+    return joined.mapInArrow(rows, "_doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, n_passages long").withColumnRenamed("_doc", id_col)
