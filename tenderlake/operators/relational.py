@@ -27,10 +27,17 @@ def lag_compare(df: DataFrame, keys: Sequence[str], order: Sequence[Column], col
     return df.withColumn("previous", previous).withColumn("changed", F.coalesce(F.col(column) != F.col("previous"), F.lit(False)))
 
 
+def join_null_safe(df: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """An inner join by ``keys`` in which null equals null; the keys are those of ``df``."""
+    renamed = other.withColumnsRenamed({k: f"_key_{k}" for k in keys})
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys])
+    return df.join(renamed, same).drop(*[f"_key_{k}" for k in keys])
+
+
 def share_of_total(df: DataFrame, value: str, by: Sequence[str], places: int = 4) -> DataFrame:
     """Share of each row in its group's total: totals are aggregated and joined back, so no group meets in one task."""
     totals = df.groupBy(*by).agg(F.sum(value).alias("_total"))
-    return df.join(totals, list(by)).withColumn("share_pct", F.round(100.0 * F.col(value) / F.col("_total"), places)).drop("_total")
+    return join_null_safe(df, totals, by).withColumn("share_pct", F.round(100.0 * F.col(value) / F.col("_total"), places)).drop("_total")
 
 
 def year_over_year(df: DataFrame, keys: Sequence[str], year: str, value: str) -> DataFrame:
@@ -133,7 +140,8 @@ def percentile_by_greater(df: DataFrame, value: str) -> DataFrame:
     greater = F.coalesce(F.sum("n").over(Window.orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     total = df.agg(F.count(F.lit(1)).alias("total"))
     ranked = counts.withColumn("greater", greater).join(F.broadcast(total))
-    return df.join(ranked.select(value, F.round(100.0 * F.col("greater") / F.col("total"), 4).alias("pct_greater")), value)
+    ranked = ranked.select(F.col(value).alias("_value"), F.round(100.0 * F.col("greater") / F.col("total"), 4).alias("pct_greater"))
+    return df.join(ranked, F.col(value).eqNullSafe(F.col("_value"))).drop("_value")
 
 
 def union_priority(parts: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
@@ -156,3 +164,66 @@ def page(df: DataFrame, sort: str, unique: str, number: int, size: int, allowed:
     """One page of a sorted result; a sort column that isn't allowed falls back to the first allowed one."""
     by = F.col(sort if sort in allowed else allowed[0])
     return df.orderBy(by.desc() if desc else by.asc(), unique).offset((number - 1) * size).limit(size)
+
+
+#: What a criterion may ask of a column.
+TESTS = {
+    "in": lambda c, v: c.isin(*v), "equals": lambda c, v: c == v, "least": lambda c, v: c >= v, "most": lambda c, v: c <= v, "after": lambda c, v: c >= F.lit(v).cast("timestamp"),
+    "before": lambda c, v: c < F.lit(v).cast("timestamp"), "contains": lambda c, v: F.contains(F.lower(c), F.lit(v.lower())), "like": lambda c, v: c.like(v),
+}
+
+
+def compile_filter(criteria: Mapping[str, object], spec: Mapping[str, tuple[str, str]]) -> Column:
+    """The criteria that are given, all of them, as one condition; ``spec`` maps a criterion to a test and a column.
+
+    Absent and empty criteria ask nothing; unknown ones are an error.
+    """
+    if unknown := set(criteria) - set(spec):
+        raise ValueError(f"unknown criteria: {sorted(unknown)}")
+    asked = [TESTS[spec[k][0]](F.col(spec[k][1]), v) for k, v in criteria.items() if v not in (None, "", [])]
+    return reduce(lambda a, b: a & b, asked, F.lit(True))
+
+
+def page_with_total(df: DataFrame, order: Sequence[Column], number: int, size: int) -> DataFrame:
+    """One page with ``total``, how many rows there are in all; the total is one row."""
+    total = df.agg(F.count(F.lit(1)).alias("total"))
+    return df.orderBy(*order).offset((number - 1) * size).limit(size).crossJoin(F.broadcast(total))
+
+
+def partner_of(a: str, b: str, own: Sequence[object]) -> Column:
+    """Of two ends the one that isn't one's own."""
+    return F.when(F.col(a).isin(*own), F.col(b)).otherwise(F.col(a))
+
+
+def any_key_join(left: DataFrame, right: DataFrame, id_col: str, keys: Sequence[DataFrame], on: str) -> DataFrame:
+    """``left`` rows with each right row that any of their keys meets, once; ``keys`` are frames of (id, key)."""
+    every = reduce(DataFrame.unionByName, keys).distinct()
+    return left.join(every, id_col).join(right, on).drop(on).distinct()
+
+
+def with_children(parent: DataFrame, key: str, children: Sequence[tuple[DataFrame, Sequence[Column]]]) -> DataFrame:
+    """``parent`` with aggregates of each child by ``key``; each child is aggregated before it is joined, so rows never multiply."""
+    return reduce(lambda df, child: df.join(child[0].groupBy(key).agg(*child[1]), key, "left"), children, parent)
+
+
+def vote(df: DataFrame, keys: Sequence[str], value: str, weight: str) -> DataFrame:
+    """The most frequent value of each key, then the one of the greatest weight, then the least: counts are made before the choice."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("votes"), F.max(weight).alias("best"))
+    return latest_per_key(counts, keys, [F.desc("votes"), F.desc("best"), F.asc(value)])
+
+
+def value_frequency(df: DataFrame, column: str, n: int) -> DataFrame:
+    """The n most frequent values: a top-k report."""
+    return df.groupBy(column).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.asc(column)).limit(n)
+
+
+def forecast_band(df: DataFrame, by: Sequence[str], x: str, y: str, ahead: int, z: float = 1.96, widen: float = 0.1) -> DataFrame:
+    """A least-squares line by group, its value in each of the next ``ahead`` steps, and a band that widens by ``widen`` a step.
+
+    The squared errors are computed from sums of the one pass, with no second scan.
+    """
+    fit = df.groupBy(*by).agg(F.regr_slope(y, x).alias("_s"), F.regr_intercept(y, x).alias("_i"), F.regr_sxx(y, x).alias("_xx"), F.regr_syy(y, x).alias("_yy"), F.count(F.lit(1)).alias("n"), F.max(x).alias("_last"))
+    fit = fit.where("n >= 3").withColumn("_se", F.sqrt(F.greatest(F.col("_yy") - F.col("_s") * F.col("_s") * F.col("_xx"), F.lit(0.0)) / (F.col("n") - 2)))
+    steps = fit.withColumn("step", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(ahead).cast("long")))).withColumn("expected", F.col("_i") + F.col("_s") * (F.col("_last") + F.col("step")))
+    half = z * (1 + widen * F.col("step")) * F.col("_se")
+    return steps.select(*by, "step", "expected", (F.col("expected") - half).alias("low"), (F.col("expected") + half).alias("high"))

@@ -78,3 +78,76 @@ def pursuit_quadrant(win: Column, quality: Column) -> Column:
 
 def pursuit_category(score: Column) -> Column:
     return bucket(score, PURSUIT_LEVELS, "Skip")
+
+
+# Weights and points of the opportunity score and of go or no-go.
+OPPORTUNITY_WEIGHTS = {"profile": 0.20, "value": 0.15, "competition": 0.10, "timeline": 0.15, "reuse": 0.10, "growth": 0.15, "recompete": 0.15}
+SET_ASIDE_POINTS = {"WOSB": 10, "EDWOSB": 10, "WOSBSS": 10, "EDWOSBSS": 10, "8A": 8, "8AN": 8, "SBA": 5, "SBP": 5, "HZC": 5, "HZS": 5, "SDVOSBC": 5, "SDVOSBS": 5}
+PROFILE_POINTS = {"primary": (100, 80), "secondary": (60, 30), "linked": (60, 30), "associated": (50, 30)}
+
+
+def set_aside_match(code: Column, held: Column, required: dict[str, Sequence[str]]) -> Column:
+    """100 with a certificate that the code requires, 50 with one that any code requires, else 0; null for no code and for unknown ones."""
+    every = F.array(*map(F.lit, sorted({x for some in required.values() for x in some})))
+    exact = F.coalesce(*[F.when(code == k, F.arrays_overlap(held, F.array(*map(F.lit, some)))) for k, some in required.items()])
+    return F.when(exact, 100.0).when(~exact & F.arrays_overlap(held, every), 50.0).when(exact.isNotNull(), 0.0)
+
+
+def incumbent(own: Column, known: Column, signals: Column, named: Column, recompete: Column) -> Column:
+    """Own incumbent 100; another one 20, or 30 and 10 for each sign of weakness up to 65; a bare name 30; a recompete without a name 50; else null."""
+    return F.when(own, 100.0).when(known & (signals > 0), F.least(F.lit(65.0), 30.0 + 10.0 * signals)).when(known, 20.0).when(named, 30.0).when(recompete, 50.0)
+
+
+def size_eligibility(set_aside: Column, outsized: Column, headroom_pct: Column) -> Column:
+    """Over the limit of a set-aside -100, within it 70 to 100 by the room left; without set-aside 45 or 60. Null if it cannot be told."""
+    within = F.round(F.coalesce(size_headroom(headroom_pct), F.lit(70.0)), 1)
+    return F.when(outsized & set_aside, -100.0).when(~outsized & set_aside, within).when(outsized, 45.0).when(~outsized, 60.0)
+
+
+def profile_match(tier: Column, certified: Column, any_certificate: Column) -> Column:
+    """By how the category is held and whether the certificate that is asked for is; a primary one without any certificate at all counts 0."""
+    out = F.when(certified, 60.0).otherwise(30.0)
+    for name, (good, poor) in PROFILE_POINTS.items():
+        out = F.when(tier == name, F.when(certified, float(good)).when(F.lit(name == "primary") & ~any_certificate, 0.0).otherwise(float(poor))).otherwise(out)
+    return F.when(tier.isNull(), 0.0).otherwise(out)
+
+
+def value_alignment(value: Column, usual: Column) -> Column:
+    """By the ratio to the usual value: twice or half 100, four times 70, ten times 40, beyond 20."""
+    off = F.greatest(value / usual, usual / value)
+    return F.when((value > 0) & (usual > 0), F.when(off <= 2, 100.0).when(off <= 4, 70.0).when(off <= 10, 40.0).otherwise(20.0))
+
+
+def few_vendors(n: Column) -> Column:
+    return F.when(n > 3, F.floor(F.greatest(F.lit(10.0), 100.0 * F.exp(-0.15 * (n - 1)))).cast("double")).when(n > 0, 100.0)
+
+
+def timeline(days: Column) -> Column:
+    return F.when(days <= 0, 0.0).otherwise(F.least(F.lit(100.0), F.bround(days / 45.0 * 100.0, 0)))
+
+
+def reuse(same_category: Column, same_agency: Column, any_record: Column) -> Column:
+    return F.when(any_record, F.when(same_category & same_agency, 100.0).when(same_category, 60.0).when(same_agency, 40.0).otherwise(10.0))
+
+
+def growth(known_category: Column, known_agency: Column, any_award: Column) -> Column:
+    """New agency 80, new category 60, known market 20."""
+    return F.when(any_award, F.when(~known_agency, 80.0).when(~known_category, 60.0).otherwise(20.0))
+
+
+def recompete_advantage(recompete: Column, incumbent_known: Column) -> Column:
+    return F.when(~recompete, 60.0).when(incumbent_known, 50.0)
+
+
+def opportunity_score(factors: dict[str, Column]) -> Column:
+    return combine(factors, OPPORTUNITY_WEIGHTS, 1)
+
+
+def go_no_go_points(set_aside: Column, days_left: Column, category_match: Column, value: Column) -> dict[str, Column]:
+    """Four factors of 0 to 10 points, and their percentage of 40."""
+    code = F.upper(F.trim(set_aside))
+    favour = F.coalesce(*[F.when(code == k, v) for k, v in SET_ASIDE_POINTS.items()], F.lit(0))
+    time = F.when(days_left.isNull(), 5).when(days_left < 0, 0).when(days_left < 7, 1).when(days_left < 14, 4).when(days_left <= 30, 7).otherwise(10)
+    size = F.when(value.isNull(), 3).when(value >= 1_000_000, 10).when(value >= 500_000, 8).when(value >= 100_000, 6).when(value >= 50_000, 4).otherwise(2)
+    match = F.when(category_match, 10).otherwise(0)
+    return {"set_aside": favour, "time": time, "category": match, "value": size, "percent": F.bround((favour + time + match + size) / 40.0 * 100.0, 1)}

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tenderlake.functions import columns as c
@@ -60,7 +60,7 @@ def market_share_topn(t):
     line = awards(t).select("l_partkey", "l_suppkey", "value").join(t.part.select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
     by = line.groupBy("p_brand", "l_suppkey").agg(F.sum("value").alias("exact")).withColumn("value", F.col("exact").cast("double"))
     total = by.groupBy("p_brand").agg(F.sum("exact").cast("double").alias("total"))
-    top = r.top_k(by, ["p_brand"], [F.desc("exact"), F.asc("l_suppkey")], 10).join(total, "p_brand")
+    top = r.join_null_safe(r.top_k(by, ["p_brand"], [F.desc("exact"), F.asc("l_suppkey")], 10), total, ["p_brand"])
     named = top.join(t.supplier.select("s_suppkey", "s_name"), F.col("l_suppkey") == F.col("s_suppkey"))
     return named.select("p_brand", "s_name", "value", F.round(100.0 * F.col("value") / F.col("total"), 4).alias("share_pct"), "rank")
 
@@ -95,9 +95,9 @@ def semi_exists(t):
     return t.customer.join(t.orders.where("o_totalprice > 200000"), F.col("o_custkey") == F.col("c_custkey"), "left_semi").select("c_custkey")
 
 
-@query("""SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)""")
+@query("""SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 250000)""")
 def anti_exists(t):
-    return r.minus_by_key(t.customer, t.orders, F.col("o_custkey") == F.col("c_custkey")).select("c_custkey", "c_name")
+    return r.minus_by_key(t.customer, t.orders.where("o_totalprice > 250000"), F.col("o_custkey") == F.col("c_custkey")).select("c_custkey", "c_name")
 
 
 @query("""SELECT p_partkey FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 45)""")
@@ -140,17 +140,18 @@ def asof_predecessor(t):
 
 
 @query("""SELECT a.p_partkey AS a_key, b.p_partkey AS b_key, CAST(40 * CAST(a.p_brand = b.p_brand AS INT) + 25 * CAST(a.p_type = b.p_type AS INT) + 20 * CAST(a.p_size = b.p_size AS INT) AS BIGINT) AS score
-FROM part a JOIN part b ON a.p_partkey <> b.p_partkey AND (a.p_brand = b.p_brand OR a.p_type = b.p_type OR a.p_size = b.p_size) WHERE a.p_partkey % 500 = 7""")
+FROM part a JOIN part b ON a.p_partkey <> b.p_partkey AND (a.p_brand = b.p_brand OR a.p_type = b.p_type OR a.p_size = b.p_size) WHERE a.p_partkey % 100 = 0""")
 def disjunctive_similarity(t):
+    """A search: its queries are the parts whose key is divisible by 100, against all parts; all partners are listed."""
     part = t.part.select("p_partkey", "p_brand", "p_type", "p_size")
-    pairs = r.disjunctive_join(part.where("p_partkey % 500 = 7"), part, ["p_brand", "p_type", "p_size"], F.col("a.p_partkey") != F.col("b.p_partkey"))
+    pairs = r.disjunctive_join(part.where("p_partkey % 100 = 0"), part, ["p_brand", "p_type", "p_size"], F.col("a.p_partkey") != F.col("b.p_partkey"))
     points = [w * c.eq_nullsafe_false(F.col(f"a_{x}"), F.col(f"b_{x}")).cast("int") for x, w in (("p_brand", 40), ("p_type", 25), ("p_size", 20))]
     return pairs.select(F.col("a_p_partkey").alias("a_key"), F.col("b_p_partkey").alias("b_key"), (points[0] + points[1] + points[2]).cast("long").alias("score"))
 
 
 @query(None)  # in SQL every pair would be made first
 def similar_parts(t):
-    """The ten most similar partners of every part; ``disjunctive_similarity`` lists all partners of one class of parts."""
+    """The ten most similar partners of every part."""
     return r.similar_topk(t.part, "p_partkey", {"p_brand": 40, "p_type": 25, "p_size": 20}, 10)
 
 
@@ -166,11 +167,11 @@ def cross_source_validation(t):
     return t.orders.select("o_orderkey").join(lines, F.col("l_orderkey") == F.col("o_orderkey"), "left").select("o_orderkey", F.coalesce("n", F.lit(0)).cast("long").alias("n_lines")).where("n_lines <> 4")
 
 
-@query("""WITH e AS (SELECT DISTINCT l_suppkey AS src, p_brand AS b FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 49),
+@query("""WITH e AS (SELECT DISTINCT l_suppkey AS src, p_brand AS b FROM lineitem JOIN part ON l_partkey = p_partkey),
 h1 AS (SELECT DISTINCT y.src AS node FROM e x JOIN e y ON x.b = y.b WHERE x.src = 1), n AS (SELECT 1 AS node, 0 AS hops UNION ALL SELECT node, 1 FROM h1)
 SELECT CAST(node AS BIGINT) AS node, CAST(min(hops) AS BIGINT) AS hops FROM n GROUP BY 1""")
 def teaming_hops(t):
-    works = t.lineitem.where("l_quantity > 49").join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_suppkey").alias("s"), F.concat(F.lit("b"), "p_brand").alias("b")).distinct()
+    works = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_suppkey").alias("s"), F.concat(F.lit("b"), "p_brand").alias("b")).distinct()
     node = F.concat(F.lit("s"), F.col("s").cast("string"))
     edges = works.select(node.alias("src"), F.col("b").alias("dst")).unionByName(works.select(F.col("b").alias("src"), node.alias("dst")))
     seed = t.supplier.where("s_suppkey = 1").select(F.lit("s1").alias("node"))
@@ -247,7 +248,7 @@ SELECT o_custkey, o_orderpriority, round(100.0 * CAST(v AS DOUBLE) / CAST(total
 def concentration_top1(t):
     by = t.orders.groupBy("o_custkey", "o_orderpriority").agg(F.sum(c.money(F.col("o_totalprice"))).alias("v"))
     total = by.groupBy("o_custkey").agg(F.sum("v").cast("double").alias("total"))
-    top = r.latest_per_key(by, ["o_custkey"], [F.desc("v"), F.asc("o_orderpriority")]).join(total, "o_custkey")
+    top = r.join_null_safe(r.latest_per_key(by, ["o_custkey"], [F.desc("v"), F.asc("o_orderpriority")]), total, ["o_custkey"])
     return top.select("o_custkey", "o_orderpriority", F.round(100.0 * F.col("v").cast("double") / F.col("total"), 3).alias("share_pct"))
 
 
@@ -266,9 +267,11 @@ def status_elapsed(t):
 
 @query("""SELECT a.user_id, a.event_id AS from_id, min(b.event_id) AS to_id FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = 'signup' AND b.event_type = 'purchase' AND b.ts > a.ts GROUP BY 1, 2""")
 def pairs_lifecycle(t):
-    signs = t.events.where("event_type = 'signup'").select("user_id", F.col("event_id").alias("from_id"), F.col("ts").alias("at"))
-    buys = t.events.where("event_type = 'purchase'").select("user_id", "event_id", "ts")
-    return signs.join(buys, "user_id").where("ts > at").groupBy("user_id", "from_id").agg(F.min("event_id").alias("to_id"))
+    """Each signup with the least later purchase of its user: one sort by time and a running minimum, no pairs."""
+    rows = t.events.where("event_type in ('signup', 'purchase')").select("user_id", "event_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    later = Window.partitionBy("user_id").orderBy(F.desc("us")).rangeBetween(Window.unboundedPreceding, -1)
+    least = F.min(F.when(F.col("event_type") == "purchase", F.col("event_id"))).over(later)
+    return rows.withColumn("to_id", least).where("event_type = 'signup' and to_id is not null").select("user_id", F.col("event_id").alias("from_id"), "to_id")
 
 
 @query("""SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier""")
@@ -302,12 +305,12 @@ def record_hash(t):
 
 
 def changed_customers(t: Tables) -> DataFrame:
-    """Every third customer, a tenth of those with another segment, and some new ones."""
-    some = t.customer.where("c_custkey % 3 = 0").withColumn("c_mktsegment", F.expr("if(c_custkey % 10 = 0, 'MOVED', c_mktsegment)"))
-    return some.withColumn("c_custkey", F.expr("if(c_custkey % 7 = 0, c_custkey + 1000000000, c_custkey)"))
+    """A second snapshot of all customers: those of high balance have another segment, those of some nations new keys."""
+    moved = t.customer.withColumn("c_mktsegment", F.expr("if(c_acctbal > 8000, 'MOVED', c_mktsegment)"))
+    return moved.withColumn("c_custkey", F.expr("if(c_nationkey < 4, c_custkey + 1000000000, c_custkey)"))
 
 
-CHANGED = "(SELECT CASE WHEN c_custkey % 7 = 0 THEN c_custkey + 1000000000 ELSE c_custkey END AS c_custkey, c_name, c_nationkey, c_acctbal, CASE WHEN c_custkey % 10 = 0 THEN 'MOVED' ELSE c_mktsegment END AS c_mktsegment FROM customer WHERE c_custkey % 3 = 0)"
+CHANGED = "(SELECT CASE WHEN c_nationkey < 4 THEN c_custkey + 1000000000 ELSE c_custkey END AS c_custkey, c_name, c_nationkey, c_acctbal, CASE WHEN c_acctbal > 8000 THEN 'MOVED' ELSE c_mktsegment END AS c_mktsegment FROM customer)"
 
 
 @query(f"""SELECT n.c_custkey, CASE WHEN b.c_custkey IS NULL THEN 'insert' WHEN b.c_name = n.c_name AND b.c_mktsegment = n.c_mktsegment THEN 'unchanged' ELSE 'update' END AS action FROM {CHANGED} n LEFT JOIN customer b ON b.c_custkey = n.c_custkey""")
@@ -330,10 +333,10 @@ def insert_ignore(t):
     return ch.insert_ignore(t.customer, changed_customers(t), ["c_custkey"]).select("c_custkey", "c_mktsegment")
 
 
-@query(f"""WITH d AS (SELECT *, CASE WHEN c_custkey % 4 = 0 THEN 'D' ELSE 'C' END AS flag FROM {CHANGED})
+@query(f"""WITH d AS (SELECT *, CASE WHEN c_acctbal < 0 THEN 'D' ELSE 'C' END AS flag FROM {CHANGED})
 SELECT c.c_custkey, c.c_mktsegment, d.c_custkey IS NOT NULL AS deleted FROM customer c LEFT JOIN d ON d.c_custkey = c.c_custkey WHERE d.flag IS NULL OR d.flag = 'D' UNION ALL SELECT c_custkey, c_mktsegment, false FROM d WHERE flag <> 'D'""")
 def delta_soft_delete(t):
-    delta = changed_customers(t).withColumn("flag", F.expr("if(c_custkey % 4 = 0, 'D', 'C')"))
+    delta = changed_customers(t).withColumn("flag", F.expr("if(c_acctbal < 0, 'D', 'C')"))
     return ch.apply_delta(t.customer, delta, ["c_custkey"], "flag").select("c_custkey", "c_mktsegment", "deleted")
 
 

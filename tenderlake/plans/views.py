@@ -73,7 +73,8 @@ def view_partner_risk_assessment(t):
 def view_mentor_protege_candidate(t):
     n = t.lineitem.groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(n_rows().alias("n"))
     w = t.supplier.join(n, "s_suppkey", "left").select("s_suppkey", "s_nationkey", F.coalesce("n", F.lit(0)).alias("n"))
-    pairs = w.alias("p").join(w.alias("m"), (F.col("p.s_nationkey") == F.col("m.s_nationkey")) & (F.col("m.n") > F.col("p.n")))
+    largest = r.top_k(w, ["s_nationkey"], [F.desc("n"), F.asc("s_suppkey")], 10).drop("rank")  # nobody needs another mentor
+    pairs = w.alias("p").join(largest.alias("m"), (F.col("p.s_nationkey") == F.col("m.s_nationkey")) & (F.col("m.n") > F.col("p.n")))
     shaped = pairs.select(F.col("p.s_suppkey").alias("protege"), F.col("m.s_suppkey").alias("mentor"), (F.col("m.n") - F.col("p.n")).alias("lead"), F.col("m.n").alias("_n"))
     return r.top_k(shaped, ["protege"], [F.desc("_n"), F.asc("mentor")], 10).drop("_n")
 
@@ -108,7 +109,7 @@ def view_data_freshness(t):
 
 
 FACTORS = f"""WITH v AS (SELECT l_suppkey, count(*) AS n, max(l_shipdate) AS last_at, count(DISTINCT l_partkey) AS parts FROM lineitem GROUP BY 1),
-    f AS (SELECT s_suppkey, s_acctbal, n, parts, date_diff('day', CAST(last_at AS DATE), DATE '{AS_OF}') / 365.0 AS years FROM supplier LEFT JOIN v ON l_suppkey = s_suppkey),
+    f AS (SELECT s_suppkey, s_acctbal, n, parts, date_diff('day', CAST(last_at AS DATE), DATE '{AS_OF}') / 365.25 AS years FROM supplier LEFT JOIN v ON l_suppkey = s_suppkey),
     x AS (SELECT s_suppkey, CASE WHEN coalesce(n, 0) = 0 THEN 10.0 ELSE greatest(10.0, least(100.0, least(100.0, 20.0 + 16.0 * n) * CASE WHEN years <= 2 THEN 1.0 WHEN years <= 5 THEN 0.5 ELSE 0.25 END)) END AS experience,
         CASE WHEN parts >= 3 THEN 100.0 WHEN parts >= 1 THEN 60.0 WHEN parts IS NOT NULL THEN 30.0 END AS teaming,
         CASE WHEN s_acctbal >= 0 THEN greatest(10.0, least(100.0, 100.0 * exp(-0.5 * greatest(0.0, s_acctbal / 2000.0 - 1.0)))) END AS value_fit FROM f),
@@ -118,7 +119,7 @@ FACTORS = f"""WITH v AS (SELECT l_suppkey, count(*) AS n, max(l_shipdate) AS las
 def win_scores(t):
     v = t.lineitem.groupBy("l_suppkey").agg(n_rows().alias("n"), F.max("l_shipdate").alias("last_at"), F.count_distinct("l_partkey").alias("parts"))
     f = t.supplier.join(v, F.col("s_suppkey") == F.col("l_suppkey"), "left")
-    years = F.date_diff(F.lit(AS_OF).cast("date"), F.col("last_at").cast("date")) / 365.0
+    years = F.date_diff(F.lit(AS_OF).cast("date"), F.col("last_at").cast("date")) / 365.25
     no = F.lit(False)
     f = f.select("s_suppkey", s.experience(F.col("n"), years, no, no).alias("experience"), s.teaming(F.col("parts")).alias("teaming"), s.value_fit(F.when(F.col("s_acctbal") >= 0, F.col("s_acctbal") / 2000.0)).alias("value_fit"))
     return f.select("*", s.combine({k: F.col(k) for k in ("experience", "teaming", "value_fit")}).alias("win"))

@@ -7,7 +7,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from tenderlake.plans import catalogue, views  # noqa: F401
+from tenderlake.plans import catalogue, constructs, marts, scores, views  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 

@@ -43,3 +43,23 @@ def test_cross_reference_takes_the_first_target(spark):
     got = sorted(tuple(x) for x in tx.cross_reference(ids.na.drop(), "ref", [("x", first), ("y", second)]).collect())
     assert got == [("a", "x", "1"), ("b", "y", "3"), ("c", None, None)]
     assert tx.reverse_search(ids, "ref", "A-").count() == 1
+
+
+def test_what_denies_and_what_does_not():
+    cues = tx.Denial().cues()
+    denied = [
+        "Bidders do not need a badge", "no requirement for a badge", "there is no badge", "work without a badge", "exempt from the badge", "N/A for badge", "e.g. badge", "badge is not applicable", "badge are waived", "badge: None", "Is a badge held? | No", "it will never require a badge",
+    ]
+    plain = ["a badge", "e.g., badge", "not a word of it, badge", "badge: Nothing else", "Is a badge held? Not known", "no " + "x" * 90 + " badge", "badge " + "y" * 70 + " not required", "notable badge", "badge? Yes. Other? No"]
+    for want, texts in ((True, denied), (False, plain)):
+        for text in texts:
+            at = text.index("badge")
+            assert tx.Marks(text, cues).denies(at, at + 5) == want, text
+
+
+def test_denial_is_a_parameter(spark):
+    docs = spark.createDataFrame([(1, "kein Ausweis"), (2, "ein Ausweis")], "doc_id int, text string")
+    rules = [tx.Rule("badge", "badge", "Ausweis")]
+    german = tx.Denial(ahead_only=("kein", "ohne"))
+    assert {x.doc_id: x.denied for x in tx.scan_patterns(docs, rules, denial=german).collect()} == {1: True, 2: False}
+    assert not any(x.denied for x in tx.scan_patterns(docs, rules, denial=None).collect())
