@@ -151,3 +151,78 @@ def go_no_go_points(set_aside: Column, days_left: Column, category_match: Column
     size = F.when(value.isNull(), 3).when(value >= 1_000_000, 10).when(value >= 500_000, 8).when(value >= 100_000, 6).when(value >= 50_000, 4).otherwise(2)
     match = F.when(category_match, 10).otherwise(0)
     return {"set_aside": favour, "time": time, "category": match, "value": size, "percent": F.bround((favour + time + match + size) / 40.0 * 100.0, 1)}
+
+
+# Weights and ladders of competitor strength, incumbent vulnerability and open door.
+STRENGTH_WEIGHTS = {"revenue": 0.25, "penetration": 0.20, "certificates": 0.20, "retention": 0.15, "concentration": 0.20}
+VULNERABILITY_WEIGHTS = {"age": 0.15, "options": 0.25, "spend": 0.15, "registration": 0.15, "turnover": 0.15, "offers": 0.15}
+OPEN_DOOR_WEIGHTS = {"small_share": 0.25, "diversity": 0.15, "size": 0.15, "retention": 0.15, "breadth": 0.15, "trend": 0.15}
+VULNERABILITY_LEVELS = ((75, "HighlyVulnerable"), (50, "Vulnerable"), (25, "Stable"))
+OPEN_DOOR_LEVELS = ((80, "Champion"), (60, "Engaged"), (40, "Minimal"))
+
+
+def ladder(c: Column, steps: Sequence[tuple[float, float]], least: float, strict: bool = False) -> Column:
+    """The points of the highest step that the value reaches (or passes, if ``strict``); null for null."""
+    out = F.lit(float(least))
+    for at, points in sorted(steps):
+        out = F.when(c > at if strict else c >= at, float(points)).otherwise(out)
+    return F.when(c.isNotNull(), out)
+
+
+def revenue_strength(value: Column) -> Column:
+    """Thirteen points for each power of ten, full from 50 million on; 0 without revenue."""
+    return F.when(value >= 50_000_000, 100.0).when(value > 0, F.floor(F.least(F.lit(100.0), 13.0 * F.log10(value + 1))).cast("double")).otherwise(0.0)
+
+
+def agency_penetration(agencies: Column, knows_this: Column) -> Column:
+    """Ten points an agency, ten more for the one that asks; 0 without any."""
+    return F.when(agencies > 0, F.least(F.lit(100.0), clamp(10.0 * agencies, 10, 100) + F.when(knows_this, 10.0).otherwise(0.0))).otherwise(0.0)
+
+
+def certificate_strength(kinds: Column, holds_asked: Column) -> Column:
+    return F.when(kinds > 0, F.least(F.lit(100.0), 20.0 * kinds + F.when(holds_asked, 20.0).otherwise(0.0))).otherwise(0.0)
+
+
+def retention_strength(retained_pct: Column, partners: Column) -> Column:
+    got = ladder(retained_pct, [(80, 90), (60, 70), (40, 50)], 30)
+    return F.coalesce(F.least(F.lit(100.0), got + F.when(partners >= 3, 10.0).otherwise(0.0)), F.lit(0.0))
+
+
+def concentration_strength(share_pct: Column, awards: Column) -> Column:
+    got = ladder(share_pct, [(50, 90), (30, 70), (10, 50)], 30, strict=True)
+    return F.coalesce(F.least(F.lit(100.0), got + F.when(awards >= 10, 10.0).when(awards >= 5, 5.0).otherwise(0.0)), F.lit(0.0))
+
+
+def total_points(factors: dict[str, Column], weights: dict[str, float], places: int = 0) -> Column:
+    """Weighted points; a factor without data counts 0."""
+    return F.bround(sum((F.coalesce(c, F.lit(0.0)) * weights[k] for k, c in factors.items()), F.lit(0.0)), places)
+
+
+def contract_age(years: Column) -> Column:
+    return F.floor(clamp(10.0 + 15.0 * years, 10, 100)).cast("double")
+
+
+def options_left(exercised_to_expected: Column) -> Column:
+    """Few options exercised for the time that has passed is a sign of weakness."""
+    return F.when(exercised_to_expected < 0.5, 90.0).when(exercised_to_expected < 0.8, 60.0).when(exercised_to_expected.isNotNull(), 30.0)
+
+
+def spend_anomaly(spent_to_expected: Column) -> Column:
+    return F.when(spent_to_expected < 0.5, 80.0).when(spent_to_expected > 1.2, 70.0).when(spent_to_expected.isNotNull(), 20.0)
+
+
+def vendor_turnover(vendors: Column, contracts: Column) -> Column:
+    """Share of different vendors among an office's contracts."""
+    return F.when(contracts > 0, F.floor(clamp(100.0 * vendors / contracts, 10, 100)).cast("double"))
+
+
+def offer_pressure(offers: Column) -> Column:
+    return clamp(10.0 + 18.0 * offers, 10, 100)
+
+
+def open_door_factors(small_pct: Column, subs: Column, mean_size: Column, returning_pct: Column, categories: Column, growth_pct: Column) -> dict[str, Column]:
+    return {
+        "small_share": F.when(small_pct > 50, 100.0).otherwise(ladder(small_pct, [(30, 75), (15, 50), (5, 30)], 10)), "diversity": F.when(subs > 0, clamp(5.0 * subs, 10, 100)),
+        "size": ladder(mean_size, [(100_000, 100), (50_000, 80), (25_000, 60), (10_000, 40)], 20), "retention": ladder(returning_pct, [(60, 100), (40, 70), (20, 40)], 20),
+        "breadth": F.when(categories > 0, clamp(20.0 * categories, 10, 100)), "trend": F.coalesce(ladder(growth_pct, [(20, 100), (-20, 60)], 20), F.lit(50.0)),
+    }

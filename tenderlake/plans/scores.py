@@ -81,3 +81,77 @@ def price_to_win(t):
 def competition_statistics(t):
     offers = t.lineitem.groupBy("l_suppkey", "l_partkey").agg(n_rows().alias("n"))
     return offers.groupBy("l_partkey").agg(F.round(F.avg("n"), 4).alias("mean_offers"), F.round(F.percentile("n", F.lit(0.5)), 2).alias("median_offers"), c.safe_pct(F.count_if(F.col("n") == 1), n_rows()).alias("solo_pct"))
+
+
+LINES = """WITH l AS (SELECT l_suppkey, l_partkey, p_brand, o_custkey, c_nationkey, CAST(year(l_shipdate) AS BIGINT) AS y, CAST(l_extendedprice AS DECIMAL(15,2)) AS v, l_returnflag FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN part ON p_partkey = l_partkey)"""
+
+
+def lines(t):
+    rows = t.lineitem.join(t.orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
+    rows = rows.join(t.customer.select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey").join(t.part.select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey")
+    return rows.select("l_suppkey", "l_partkey", "p_brand", "o_custkey", "c_nationkey", F.year("l_shipdate").cast("long").alias("y"), c.money(F.col("l_extendedprice")).alias("v"), "l_returnflag")
+
+
+@query(f"""{LINES}, y AS (SELECT l_suppkey, o_custkey, count(DISTINCT y) AS years FROM l GROUP BY 1, 2), r AS (SELECT l_suppkey, 100.0 * count(*) FILTER (years >= 2) / count(*) AS kept FROM y GROUP BY 1),
+    b AS (SELECT l_suppkey, p_brand, count(*) AS n FROM l GROUP BY 1, 2), k AS (SELECT l_suppkey, 100.0 * max(n) / sum(n) AS top, max(n) AS m FROM b GROUP BY 1),
+    a AS (SELECT l_suppkey, CAST(sum(v) AS DOUBLE) AS value, count(DISTINCT c_nationkey) AS nations, bool_or(c_nationkey = 3) AS knows, count(DISTINCT l_returnflag) AS kinds, bool_or(l_returnflag = 'R') AS asked FROM l GROUP BY 1)
+    SELECT s_suppkey, round(0.25 * CASE WHEN value >= 50000000 THEN 100.0 WHEN value > 0 THEN floor(least(100.0, 13.0 * log10(value + 1))) ELSE 0.0 END + 0.2 * CASE WHEN nations > 0 THEN least(100.0, greatest(10.0, least(100.0, 10.0 * nations)) + CASE WHEN knows THEN 10 ELSE 0 END) ELSE 0.0 END
+    + 0.2 * CASE WHEN kinds > 0 THEN least(100.0, 20.0 * kinds + CASE WHEN asked THEN 20 ELSE 0 END) ELSE 0.0 END + 0.15 * coalesce(CASE WHEN kept >= 80 THEN 90.0 WHEN kept >= 60 THEN 70.0 WHEN kept >= 40 THEN 50.0 WHEN kept IS NOT NULL THEN 30.0 END, 0)
+    + 0.2 * coalesce(least(100.0, CASE WHEN top > 50 THEN 90.0 WHEN top > 30 THEN 70.0 WHEN top > 10 THEN 50.0 WHEN top IS NOT NULL THEN 30.0 END + CASE WHEN m >= 10 THEN 10 WHEN m >= 5 THEN 5 ELSE 0 END), 0), 2) AS strength
+    FROM supplier LEFT JOIN a ON a.l_suppkey = s_suppkey LEFT JOIN r ON r.l_suppkey = s_suppkey LEFT JOIN k ON k.l_suppkey = s_suppkey""")
+def score_competitor_strength(t):
+    """Each part is aggregated by vendor and a second key first, so no vendor's rows meet in one task."""
+    rows = lines(t)
+    kept = rows.groupBy("l_suppkey", "o_custkey").agg(F.count_distinct("y").alias("years")).groupBy("l_suppkey").agg((100.0 * F.count_if(F.col("years") >= 2) / n_rows()).alias("kept"))
+    top = rows.groupBy("l_suppkey", "p_brand").agg(n_rows().alias("n")).groupBy("l_suppkey").agg((100.0 * F.max("n") / F.sum("n")).alias("top"), F.max("n").alias("m"))
+    sums = rows.groupBy("l_suppkey").agg(F.sum("v").cast("double").alias("value"), F.count_distinct("c_nationkey").alias("nations"), F.bool_or(F.col("c_nationkey") == 3).alias("knows"), F.count_distinct("l_returnflag").alias("kinds"), F.bool_or(F.col("l_returnflag") == "R").alias("asked"))
+    out = t.supplier.select(F.col("s_suppkey"), F.col("s_suppkey").alias("l_suppkey")).join(sums.join(kept, "l_suppkey").join(top, "l_suppkey"), "l_suppkey", "left")
+    factors = {
+        "revenue": s.revenue_strength(F.col("value")), "penetration": s.agency_penetration(F.col("nations"), F.col("knows")), "certificates": s.certificate_strength(F.col("kinds"), F.col("asked")),
+        "retention": s.retention_strength(F.col("kept"), F.lit(0)), "concentration": s.concentration_strength(F.col("top"), F.col("m")),
+    }
+    return out.select("s_suppkey", s.total_points(factors, s.STRENGTH_WEIGHTS, 2).alias("strength"))
+
+
+@query(f"""{LINES}, y AS (SELECT o_custkey, l_suppkey, count(DISTINCT y) AS years, sum(v) AS v, bool_or(l_suppkey < 50) AS small FROM l GROUP BY 1, 2), a AS (SELECT o_custkey, count(*) AS subs, 100.0 * count(*) FILTER (years >= 2) / count(*) AS kept, 100.0 * CAST(coalesce(sum(v) FILTER (small), 0) AS DOUBLE) / CAST(sum(v) AS DOUBLE) AS small FROM y GROUP BY 1),
+    b AS (SELECT o_custkey, count(DISTINCT p_brand) AS brands, CAST(sum(v) AS DOUBLE) / count(*) AS mean FROM l GROUP BY 1), g AS (SELECT o_custkey, y, count(*) AS n, row_number() OVER (PARTITION BY o_custkey ORDER BY y DESC) AS rank FROM l GROUP BY 1, 2),
+    h AS (SELECT o_custkey, max(n) FILTER (rank = 1) AS n1, max(n) FILTER (rank = 2) AS n2 FROM g GROUP BY 1), p AS (SELECT a.o_custkey, round(0.25 * CASE WHEN small > 50 THEN 100.0 WHEN small >= 30 THEN 75.0 WHEN small >= 15 THEN 50.0 WHEN small >= 5 THEN 30.0 ELSE 10.0 END + 0.15 * greatest(10.0, least(100.0, 5.0 * subs))
+    + 0.15 * CASE WHEN mean >= 100000 THEN 100.0 WHEN mean >= 50000 THEN 80.0 WHEN mean >= 25000 THEN 60.0 WHEN mean >= 10000 THEN 40.0 ELSE 20.0 END + 0.15 * CASE WHEN kept >= 60 THEN 100.0 WHEN kept >= 40 THEN 70.0 WHEN kept >= 20 THEN 40.0 ELSE 20.0 END + 0.15 * greatest(10.0, least(100.0, 20.0 * brands))
+    + 0.15 * CASE WHEN n2 IS NULL THEN 50.0 WHEN 100.0 * (n1 - n2) / n2 >= 20 THEN 100.0 WHEN 100.0 * (n1 - n2) / n2 >= -20 THEN 60.0 ELSE 20.0 END, 2) AS score FROM a JOIN b ON b.o_custkey = a.o_custkey JOIN h ON h.o_custkey = a.o_custkey)
+    SELECT o_custkey, score, CASE WHEN score >= 80 THEN 'Champion' WHEN score >= 60 THEN 'Engaged' WHEN score >= 40 THEN 'Minimal' ELSE 'Closed' END AS level FROM p""")
+def score_open_door(t):
+    """Customers stand for primes, suppliers for subcontractors; those with keys under 50 are the small ones."""
+    from tenderlake.operators import relational as r
+
+    rows = lines(t)
+    pair = rows.groupBy("o_custkey", "l_suppkey").agg(F.count_distinct("y").alias("years"), F.sum("v").alias("v"))
+    small = F.coalesce(F.sum(F.when(F.col("l_suppkey") < 50, F.col("v"))).cast("double"), F.lit(0.0))
+    a = pair.groupBy("o_custkey").agg(n_rows().alias("subs"), (100.0 * F.count_if(F.col("years") >= 2) / n_rows()).alias("kept"), (100.0 * small / F.sum("v").cast("double")).alias("small"))
+    b = rows.groupBy("o_custkey").agg(F.count_distinct("p_brand").alias("brands"), (F.sum("v").cast("double") / n_rows()).alias("mean"))
+    years = r.top_k(rows.groupBy("o_custkey", "y").agg(n_rows().alias("n")), ["o_custkey"], [F.desc("y")], 2)
+    h = years.groupBy("o_custkey").agg(F.max(F.when(F.col("rank") == 1, F.col("n"))).alias("n1"), F.max(F.when(F.col("rank") == 2, F.col("n"))).alias("n2"))
+    f = s.open_door_factors(F.col("small"), F.col("subs"), F.col("mean"), F.col("kept"), F.col("brands"), 100.0 * (F.col("n1") - F.col("n2")) / F.col("n2"))
+    out = a.join(b, "o_custkey").join(h, "o_custkey").select("o_custkey", s.total_points(f, s.OPEN_DOOR_WEIGHTS, 2).alias("score"))
+    return out.withColumn("level", c.bucket(F.col("score"), s.OPEN_DOOR_LEVELS, "Closed"))
+
+
+@query(f"""WITH v AS (SELECT l_orderkey, count(*) AS n, count(DISTINCT l_suppkey) AS vendors, CAST(sum(CAST(l_extendedprice AS DECIMAL(15,2))) AS DOUBLE) AS spent, count(*) FILTER (l_returnflag = 'A') AS a FROM lineitem GROUP BY 1),
+    x AS (SELECT o_orderkey, date_diff('day', CAST(o_orderdate AS DATE), DATE '2002-01-01') / 365.25 AS years, a / n AS options, CASE WHEN o_totalprice > 0 THEN spent / o_totalprice END AS spend, n, vendors, c_acctbal FROM orders JOIN customer ON c_custkey = o_custkey LEFT JOIN v ON l_orderkey = o_orderkey),
+    p AS (SELECT o_orderkey, least(100.0, greatest(0.0, round(0.15 * floor(greatest(10.0, least(100.0, 10.0 + 15.0 * years))) + 0.25 * coalesce(CASE WHEN options < 0.5 THEN 90.0 WHEN options < 0.8 THEN 60.0 WHEN options IS NOT NULL THEN 30.0 END, 0) + 0.15 * coalesce(CASE WHEN spend < 0.5 THEN 80.0 WHEN spend > 1.2 THEN 70.0 WHEN spend IS NOT NULL THEN 20.0 END, 0)
+    + 0.15 * CASE WHEN c_acctbal < 0 THEN 100.0 ELSE 0.0 END + 0.15 * coalesce(CASE WHEN n > 0 THEN floor(greatest(10.0, least(100.0, 100.0 * vendors / n))) END, 0) + 0.15 * CASE WHEN vendors IS NULL THEN 0 ELSE greatest(10.0, least(100.0, 10.0 + 18.0 * vendors)) END, 2))) AS score FROM x)
+    SELECT o_orderkey, score, CASE WHEN score >= 75 THEN 'HighlyVulnerable' WHEN score >= 50 THEN 'Vulnerable' WHEN score >= 25 THEN 'Stable' ELSE 'Entrenched' END AS level FROM p""")
+def score_incumbent_vulnerability(t):
+    v = awards_by_order(t)
+    x = t.orders.join(t.customer.select(F.col("c_custkey").alias("o_custkey"), "c_acctbal"), "o_custkey").join(v, "o_orderkey", "left")
+    years = F.date_diff(F.lit("2002-01-01").cast("date"), F.col("o_orderdate").cast("date")) / 365.25
+    factors = {
+        "age": s.contract_age(years), "options": s.options_left(F.col("a") / F.col("n")), "spend": s.spend_anomaly(F.when(F.col("o_totalprice") > 0, F.col("spent") / F.col("o_totalprice"))), "registration": F.when(F.col("c_acctbal") < 0, 100.0).otherwise(0.0),
+        "turnover": s.vendor_turnover(F.col("vendors"), F.col("n")), "offers": s.offer_pressure(F.col("vendors")),
+    }
+    out = x.select("o_orderkey", s.clamp(s.total_points(factors, s.VULNERABILITY_WEIGHTS, 2), 0, 100).alias("score"))
+    return out.withColumn("level", c.bucket(F.col("score"), s.VULNERABILITY_LEVELS, "Entrenched"))
+
+
+def awards_by_order(t):
+    rows = t.lineitem.withColumn("v", c.money(F.col("l_extendedprice")))
+    return rows.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(n_rows().alias("n"), F.count_distinct("l_suppkey").alias("vendors"), F.sum("v").cast("double").alias("spent"), F.count_if(F.col("l_returnflag") == "A").alias("a"))

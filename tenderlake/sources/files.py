@@ -7,17 +7,22 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tenderlake.functions.columns import flagged_codes
 
-def scan_extract(spark: SparkSession, path: str, columns: Sequence[str], key: str) -> DataFrame:
+
+def scan_extract(spark: SparkSession, path: str, columns: Sequence[str], key: str, first_row: bool = False) -> DataFrame:
     """Pipe-delimited lines between BOF and EOF marks: ``|\\`` escapes mended, short rows and rows without a key dropped.
 
     Rows of one key are merged: for each column the first value that isn't
-    empty, in line order of the file.
+    empty, in line order of the file, or with ``first_row`` the first row as it is.
     """
     lines = spark.read.text(path).select(F.col("value"), F.monotonically_increasing_id().alias("_n"))
     body = lines.where(~F.col("value").rlike("^(BOF|EOF)\\b")).withColumn("value", F.regexp_replace("value", r"\|\\\|", "||"))
     parts = body.select("_n", F.split("value", r"\|", -1).alias("p")).where(F.size("p") >= len(columns))
     rows = parts.select("_n", *[F.when(F.trim(F.col("p")[i]) != "", F.trim(F.col("p")[i])).alias(c) for i, c in enumerate(columns)]).where(F.col(key).isNotNull())
+    if first_row:
+        others = [c for c in columns if c != key]
+        return rows.groupBy(key).agg(F.min_by(F.struct(*others), "_n").alias("_first")).select(*[F.col(c) if c == key else F.col("_first")[c].alias(c) for c in columns])
     first = [F.min_by(c, F.when(F.col(c).isNotNull(), F.col("_n"))).alias(c) for c in columns if c != key]
     return rows.groupBy(key).agg(*first).select(*columns)
 
@@ -28,9 +33,12 @@ def extract_count(spark: SparkSession, path: str) -> DataFrame:
     return head.select(F.regexp_extract("value", r"(\d+)\s*$", 1).cast("long").alias("declared"))
 
 
-def scan_csv(spark: SparkSession, path: str, rename: Mapping[str, str], types: Mapping[str, str] = {}) -> DataFrame:
-    """Columns by header name, renamed and cast; values that don't fit their type become null. A byte-order mark is dropped."""
-    raw = spark.read.csv(path, header=True, multiLine=True, escape='"')
+def scan_csv(spark: SparkSession, path: str, rename: Mapping[str, str], types: Mapping[str, str] = {}, multi_line: bool = True) -> DataFrame:
+    """Columns by header name, renamed and cast; values that don't fit their type become null. A byte-order mark is dropped.
+
+    Where no value has a line break, ``multi_line=False`` lets Spark split large files over many tasks.
+    """
+    raw = spark.read.csv(path, header=True, multiLine=multi_line, escape='"')
     raw = raw.toDF(*[c.lstrip("﻿") for c in raw.columns])
     return raw.select(*[F.col(f"`{old}`").try_cast(types.get(new, "string")).alias(new) for old, new in rename.items()])
 
@@ -45,3 +53,8 @@ def date_windows(spark: SparkSession, start: str, end: str, days: int = 365) ->
     """``(first_day, last_day)``: the span cut into windows of at most ``days`` days."""
     spans = spark.range(1).select(F.explode(F.expr(f"sequence(date'{start}', date'{end}', interval {days} days)")).alias("first_day"))
     return spans.withColumn("last_day", F.least(F.date_add("first_day", days - 1), F.lit(end).cast("date")))
+
+
+def child_rows(parents: DataFrame, key: str, column: str, separator: str = "~") -> DataFrame:
+    """``(key, code, flag)``: a row for each part of a separated list, its last character split off as the flag if it is Y or N."""
+    return parents.select(key, F.inline(flagged_codes(F.col(column), separator)))

@@ -67,3 +67,17 @@ def test_windowed_counts(spark):
     events = spark.createDataFrame(rows, "t string, k string").select(F.col("t").cast("timestamp").alias("t"), "k")
     got = ingest.windowed_counts(events, "t", "k")
     assert sorted((str(x.start), x.k, x.n) for x in got.collect()) == [("2024-01-01 00:00:00", "a", 2), ("2024-01-01 01:00:00", "b", 1)]
+
+
+def test_extract_takes_the_first_row_of_a_key(spark, tmp_path):
+    path = tmp_path / "x.dat"
+    path.write_text("BOF x 3\nk1|a|111Y~222N\nk1||333\nk2|b|\nEOF x 3\n")
+    rows = files.scan_extract(spark, str(path), ["k", "a", "codes"], "k", first_row=True)
+    assert sorted(map(tuple, rows.collect())) == [("k1", "a", "111Y~222N"), ("k2", "b", None)]
+    assert sorted(map(tuple, files.child_rows(rows, "k", "codes").collect())) == [("k1", "111", "Y"), ("k1", "222", "N")]
+
+
+def test_csv_in_many_tasks(spark, tmp_path):
+    path = tmp_path / "x.csv"
+    path.write_text("a,b\n1,x\n2,y\n")
+    assert sorted(map(tuple, files.scan_csv(spark, str(path), {"a": "n"}, {"n": "int"}, multi_line=False).collect())) == [(1,), (2,)]
