@@ -57,7 +57,7 @@ def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tenderlake.llm.rules import quality_rules
 
-    return quality_rules(read_table(spark, sf_dir, "documents"))
+    return quality_rules(read_table(spark, sf_dir, "documents")).withColumn("host_rate", F.round("host_rate", 6))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,4 +84,23 @@ def op10_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_minhash, op3_best_fit_packing, op4_quality_classifier, op5_bpe_roundtrip, op6_personal_data, op7_quality_rules, op8_simhash, op9_language_id, op10_suffix_repeats)}
-SQL: dict[str, str] = {}
+WORDS = r"list_filter(regexp_split_to_array(%s, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+SQL: dict[str, str] = {
+    "op2_minhash": f"""WITH RECURSIVE d AS (SELECT doc_id, {WORDS % LOWER} AS w FROM documents),
+    s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + 4], ' ') END AS g FROM d, LATERAL (SELECT unnest(range(1, greatest(len(w) - 3, 2))) AS i) WHERE len(w) > 0),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1), p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+    l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * p.n >= 85 * (x.n + y.n - p.n)), r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+    c AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY 1)
+    SELECT c.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, c.doc_id = component_id AS kept FROM c LEFT JOIN n ON n.doc_id = c.doc_id""",
+    "op7_quality_rules": f"""WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents), w AS (SELECT *, {WORDS % 't'} AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM d),
+    k AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS g FROM w, LATERAL (SELECT unnest(range(1, len(w) - 3)) AS i) WHERE len(w) >= 5), m AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM k),
+    r AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM m, (SELECT unnest(range(5)) AS j) WHERE n > 1 GROUP BY 1),
+    c AS (SELECT w.doc_id, source, t, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words FROM w LEFT JOIN r ON r.doc_id = w.doc_id),
+    f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, n_symbols > 0.1::DOUBLE * n_words OR n_dup_lines > 0.3::DOUBLE * len(string_split(t, chr(10))) AS soft FROM c),
+    h AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed OR soft) AS failed FROM f WHERE source IS NOT NULL GROUP BY 1),
+    a AS (SELECT least(greatest(avg(failed / n), 0.001), 0.999) AS mean, coalesce(var_samp(failed / n), 0) AS var, avg(1 / n) AS inv FROM h),
+    b AS (SELECT mean, least(greatest(mean * (1 - mean) / greatest(var - mean * (1 - mean) * inv, 1e-6) - 1, 2.0), 1e4) AS s FROM a), p AS (SELECT source, n, s, mean, (failed + s * mean) / (n + s) AS rate FROM h, b),
+    v AS (SELECT source, round(rate, 6) AS rate, rate - 1.645 * sqrt(rate * (1 - rate) / (n + s + 1)) > least(3 * mean, 1.0) AS bad FROM p)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT (coalesce(bad, false) AND (base_failed OR soft)) AS kept, f.source AS host, rate AS host_rate FROM f LEFT JOIN v ON v.source = f.source""",
+}
