@@ -99,7 +99,7 @@ SQL: dict[str, str] = {
     c AS (SELECT w.doc_id, source, t, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words FROM w LEFT JOIN r ON r.doc_id = w.doc_id),
     f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, n_symbols > 0.1::DOUBLE * n_words OR n_dup_lines > 0.3::DOUBLE * len(string_split(t, chr(10))) AS soft FROM c),
     h AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed OR soft) AS failed FROM f WHERE source IS NOT NULL GROUP BY 1),
-    a AS (SELECT least(greatest(avg(failed / n), 0.001), 0.999) AS mean, coalesce(var_samp(failed / n), 0) AS var, avg(1 / n) AS inv FROM h),
+    a AS (SELECT least(greatest(sum(failed) / sum(n), 0.001), 0.999) AS mean, coalesce(var_samp(failed / n), 0) AS var, avg(1 / n) AS inv FROM h),
     b AS (SELECT mean, least(greatest(mean * (1 - mean) / greatest(var - mean * (1 - mean) * inv, 1e-6) - 1, 2.0), 1e4) AS s FROM a), p AS (SELECT source, n, s, mean, (failed + s * mean) / (n + s) AS rate FROM h, b),
     v AS (SELECT source, round(rate, 6) AS rate, rate - 1.645 * sqrt(rate * (1 - rate) / (n + s + 1)) > least(3 * mean, 1.0) AS bad FROM p)
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT (coalesce(bad, false) AND (base_failed OR soft)) AS kept, f.source AS host, rate AS host_rate FROM f LEFT JOIN v ON v.source = f.source""",

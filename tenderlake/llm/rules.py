@@ -101,14 +101,15 @@ def host_counts(stats: DataFrame) -> DataFrame:
 def host_verdicts(hosts: DataFrame, multiple: float = 3.0, sure: float = 1.645) -> DataFrame:
     """``(_host, host_rate, host_bad)``: failure rates shrunk to the fitted beta prior.
 
-    The prior's mean and strength are fitted to the hosts' rates by moments
-    (three sums over hosts, one row to the driver). A host is bad if its rate
+    The prior's mean is the rate over all hosts' documents, so that small hosts
+    don't move it, and its strength fits the spread of the hosts' rates by
+    moments (sums over hosts, one row to the driver). A host is bad if its rate
     is over ``multiple`` times the prior's mean with a chance of 95 %: the
     posterior mean less ``sure`` posterior standard deviations is. A few
     unlucky documents cannot make it so, and where all hosts fail alike none is.
     """
     rate = F.col("failed") / F.col("n")
-    fit = hosts.agg(F.count(F.lit(1)).alias("k"), F.avg(rate).alias("mean"), F.coalesce(F.var_samp(rate), F.lit(0.0)).alias("var"), F.avg(1 / F.col("n")).alias("inv")).first()
+    fit = hosts.agg(F.count(F.lit(1)).alias("k"), (F.sum("failed") / F.sum("n")).alias("mean"), F.coalesce(F.var_samp(rate), F.lit(0.0)).alias("var"), F.avg(1 / F.col("n")).alias("inv")).first()
     mean = min(max(fit["mean"] if fit["mean"] is not None else 0.5, 1e-3), 1 - 1e-3)
     within = mean * (1 - mean) * (fit["inv"] or 0.0)
     between = max((fit["var"] or 0.0) - within, 1e-6)

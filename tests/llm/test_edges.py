@@ -58,7 +58,7 @@ def test_a_bad_host_loses_only_what_fails_there(spark):
     from tenderlake.llm.rules import quality_rules
 
     good = lambda i: " ".join(words(20, f"w{i}x"))
-    soft = lambda i: good(i) + " # # # # # #"
+    soft = lambda i: good(i) + " #1 #2 #3 #4 #5 #6"
     rows = [(i, good(i) if i % 20 else soft(i), None, f"host{i % 5}") for i in range(400)]
     rows += [(1000 + i, soft(i) if i % 2 else good(i), None, "bad") for i in range(60)]
     rows += [(2000, soft(0), None, "small"), (2001, good(1), None, "small"), (2002, soft(2), None, None)]
