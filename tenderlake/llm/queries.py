@@ -83,9 +83,39 @@ def op10_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(read_table(spark, sf_dir, "documents")).drop("kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_minhash, op3_best_fit_packing, op4_quality_classifier, op5_bpe_roundtrip, op6_personal_data, op7_quality_rules, op8_simhash, op9_language_id, op10_suffix_repeats)}
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tenderlake.llm.divergence import audit_sources
+
+    return audit_sources(read_table(spark, sf_dir, "documents"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose id has an even checksum are verified against a text without line breaks."""
+    from tenderlake.llm.manifest import folded, leaf_of, merkle_manifest, proof_digest
+
+    docs, fields = read_table(spark, sf_dir, "documents"), ("doc_id", "source", "lang", "n_chars", "text")
+    changed = leaf_of([F.replace(F.col(c), F.lit("\n"), F.lit("")) if c == "text" else F.col(c) for c in fields])
+    tampered = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.lit(False))
+    got = merkle_manifest(docs, suspect=F.when(tampered, changed).otherwise(leaf_of([F.col(c) for c in fields])))
+    out = got.select("doc_id", "leaf", "subroot", "root", proof_digest(F.col("proof")).alias("proof_sha256"), folded(F.col("suspect_leaf"), F.col("proof")).alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tenderlake.llm.toxicity import score_toxicity
+
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0, F.lit(False))
+    got = score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), ~held_out)
+    return got.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_minhash, op3_best_fit_packing, op4_quality_classifier, op5_bpe_roundtrip, op6_personal_data, op7_quality_rules, op8_simhash, op9_language_id, op10_suffix_repeats, op11_source_divergence, op12_merkle_manifest, op13_toxicity)}
 WORDS = r"list_filter(regexp_split_to_array(%s, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: For op12: the leaf of a row with a given text, and the checksum of its id, bit by bit.
+LEAF = "sha256(concat(%s))" % ", ".join(f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "lang", "n_chars", "txt"))
+CHECKSUM = """xor(list_reduce(list_concat([4294967295], list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+      lambda a, b: list_reduce(list_concat([xor(a, b)], range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)), 4294967295)"""
 SQL: dict[str, str] = {
     "op2_minhash": f"""WITH RECURSIVE d AS (SELECT doc_id, {WORDS % LOWER} AS w FROM documents),
     s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + 4], ' ') END AS g FROM d, LATERAL (SELECT unnest(range(1, greatest(len(w) - 3, 2))) AS i) WHERE len(w) > 0),
@@ -103,4 +133,25 @@ SQL: dict[str, str] = {
     b AS (SELECT mean, least(greatest(mean * (1 - mean) / greatest(var - mean * (1 - mean) * inv, 1e-6) - 1, 2.0), 1e4) AS s FROM a), p AS (SELECT source, n, s, mean, (failed + s * mean) / (n + s) AS rate FROM h, b),
     v AS (SELECT source, round(rate, 6) AS rate, rate - 1.645 * sqrt(rate * (1 - rate) / (n + s + 1)) > least(3 * mean, 1.0) AS bad FROM p)
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT (coalesce(bad, false) AND (base_failed OR soft)) AS kept, f.source AS host, rate AS host_rate FROM f LEFT JOIN v ON v.source = f.source""",
+    "op11_source_divergence": r"""WITH d AS (SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+    o AS (SELECT i, lang, source, unnest(w) AS t FROM d), s AS (SELECT DISTINCT lang, source FROM d), k AS (SELECT lang, t FROM o GROUP BY 1, 2 HAVING count(DISTINCT i) >= 30),
+    c AS (SELECT o.lang, source, t, count(*) AS n FROM o JOIN k USING (lang, t) GROUP BY ALL), g AS (SELECT s.lang, s.source, k.t, coalesce(n, 0)::HUGEINT AS n FROM s JOIN k ON k.lang = s.lang LEFT JOIN c ON c.lang = s.lang AND c.source = s.source AND c.t = k.t),
+    p AS (SELECT lang, source, t, n, 1 + (1000000000 * (n + 5)) // (sum(n) OVER (PARTITION BY lang, source) + 5 * count(*) OVER (PARTITION BY lang, source)) AS p FROM g),
+    l AS (SELECT lang, t, sum(n) AS n FROM g GROUP BY 1, 2), q AS (SELECT lang, t, 1 + (1000000000 * (n + 5)) // (sum(n) OVER (PARTITION BY lang) + 5 * count(*) OVER (PARTITION BY lang)) AS q FROM l),
+    x AS (SELECT a.lang, a.source, b.source AS item, coalesce(v, 0) AS value FROM s a JOIN s b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS v FROM p a JOIN p b ON a.lang = b.lang AND a.t = b.t AND a.source <> b.source GROUP BY ALL) y ON y.lang = a.lang AND y.source = a.source AND y.item = b.source),
+    r AS (SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, encode(item)) AS rank FROM x
+    UNION ALL SELECT lang, source, 'term', t, p - q, row_number() OVER (PARTITION BY lang, source ORDER BY p - q DESC, encode(t)) FROM p JOIN q USING (lang, t) WHERE n > 0 AND p > q)
+    SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM r WHERE part = 'pair' OR rank <= 50""",
+    "op12_merkle_manifest": f"""WITH RECURSIVE x AS (SELECT *, text AS txt FROM documents), y AS (SELECT doc_id, source, lang, n_chars, CASE WHEN {CHECKSUM} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS txt, {LEAF} AS leaf FROM x),
+    d AS (SELECT doc_id, source, leaf, {LEAF} AS bad, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM y),
+    t AS (SELECT 0 AS lvl, source, i, n, leaf AS h FROM d UNION ALL SELECT lvl + 1, source, i // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM t WHERE n > 1 GROUP BY lvl, source, i // 3, n),
+    s AS (SELECT source, h AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM t WHERE n = 1),
+    u AS (SELECT 0 AS lvl, i, n, subroot AS h FROM s UNION ALL SELECT lvl + 1, i // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM u WHERE n > 1 GROUP BY lvl, i // 3, n),
+    a AS (SELECT lvl, source, i, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM t WHERE n > 1 WINDOW w AS (PARTITION BY lvl, source, i // 3 ORDER BY i)),
+    b AS (SELECT lvl, i, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM u WHERE n > 1 WINDOW w AS (PARTITION BY lvl, i // 3 ORDER BY i)),
+    k AS (SELECT d.source, d.i, list({{'l': l, 'r': r}} ORDER BY lvl) AS steps FROM d JOIN a ON a.source IS NOT DISTINCT FROM d.source AND a.i = d.i // (3 ** lvl)::BIGINT GROUP BY 1, 2),
+    m AS (SELECT s.source, list({{'l': l, 'r': r}} ORDER BY lvl) AS steps FROM s JOIN b ON b.i = s.i // (3 ** lvl)::BIGINT GROUP BY 1),
+    p AS (SELECT doc_id, leaf, bad, subroot, (SELECT h FROM u WHERE n = 1) AS root, list_concat(coalesce(k.steps, []), coalesce(m.steps, [])) AS steps FROM d JOIN s ON s.source IS NOT DISTINCT FROM d.source LEFT JOIN k ON k.source IS NOT DISTINCT FROM d.source AND k.i = d.i LEFT JOIN m ON m.source IS NOT DISTINCT FROM d.source),
+    f AS (SELECT doc_id, leaf, subroot, root, sha256(list_aggregate(list_concat([''], list_transform(steps, lambda z: z.l || z.r)), 'string_agg', '')) AS proof_sha256, list_reduce(list_concat([{{'l': bad, 'r': ''}}], steps), lambda v, z: {{'l': sha256(z.l || v.l || z.r), 'r': ''}}).l AS folded_root FROM p)
+    SELECT *, folded_root = root AS verified FROM f""",
 }
