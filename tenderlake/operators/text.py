@@ -31,57 +31,74 @@ class Rule(NamedTuple):
 
 
 class Denial(NamedTuple):
-    """Words that deny what stands near them; cues are put together from these.
-
-    ``ahead`` cues deny what follows within AHEAD characters: a negator and a
-    verb of need, "no" and a noun, a release, or an example. ``back`` cues deny
-    what stands within BACK characters before: a negator or a release as the
-    predicate, or an empty answer after a colon. A question that an empty
-    answer follows denies what it asks about.
+    """Words that deny what stands in their scope: the clause, and no farther than a fixed reach.
+
+    A clause ends at a mark of punctuation, a line or a table bar, or at a word
+    of ``breaks``. A match is denied if, in its clause, a word of ``negators``
+    or ``ahead_only`` stands before it; if a verb of ``links`` with a negator
+    or a word of ``released`` follows it; if an example is announced right
+    before it; or if all that is said of it is an empty answer: after a colon
+    or a bar, or after the question that it stands in.
     """
 
-    negators: tuple[str, ...] = ("not", "never", "cannot", "neither", "nor")
-    verbs: tuple[str, ...] = ("require", "need", "involve", "include", "apply", "necessitate")
-    nouns: tuple[str, ...] = ("requirement", "need", "obligation")
-    states: tuple[str, ...] = ("required", "needed", "applicable", "necessary")
-    releases: tuple[str, ...] = ("waived", "exempt", "exempted")
-    ahead_only: tuple[str, ...] = ("without", "waive", "waives", "exemption", "exempt", "exempted", "waived")
-    empty: tuple[str, ...] = ("no", "none", "n/a", "na")
+    negators: tuple[str, ...] = ("no", "not", "never", "neither", "nor", "cannot", "n/a")
+    ahead_only: tuple[str, ...] = ("without", "lacks", "lacking", "exempt", "exempts", "exempted", "exempting", "exemption", "waive", "waives", "waiving")
+    released: tuple[str, ...] = ("waived", "exempt", "optional", "unnecessary", "inapplicable", "dropped")
+    links: tuple[str, ...] = ("is", "are", "was", "were", "be", "been", "will", "shall", "does", "do", "did", "has", "have")
+    answers: tuple[str, ...] = ("no", "none", "nil", "n/a")
+    examples: tuple[str, ...] = ("e.g.", "such as", "for example", "for instance")
+    breaks: tuple[str, ...] = ("but", "however", "although", "unless", "except")
 
     def cues(self) -> dict[str, re.Pattern]:
-        one = lambda words, ends="": "(?:" + "|".join(map(re.escape, words)) + ")" + ends
-        ahead = [rf"{one(self.negators)}\s+{one(self.verbs, 's?')}", rf"{one(self.negators)}\s+{one(self.states)}", rf"no\s+{one(self.nouns, 's?')}\s+for", r"there\s+(?:is|are)\s+no", one(self.ahead_only), r"n/?a\s+(?:for|regarding)"]
-        back = [rf"{one(self.negators)}\s+{one(self.states)}", rf"(?:is|are)\s+{one(self.releases)}"]
-        return {
-            "ahead": re.compile(rf"\b(?:{'|'.join(ahead)})\b|\be\.g\.\s*(?=\w)", re.IGNORECASE),
-            "back": re.compile(rf"\b(?:{'|'.join(back)})\b|:\s*{one(self.empty)}\b", re.IGNORECASE),
-            "answer": re.compile(r"\?\s*\|?\s*no\b", re.IGNORECASE),
+        def words(*lists: tuple[str, ...]) -> str:
+            ranked = sorted({w for x in lists for w in x}, key=len, reverse=True)
+            return r"(?<![\w/])(?:" + "|".join(map(re.escape, ranked)) + r")(?![\w/])"
+
+        patterns = {
+            "before": words(self.negators, self.ahead_only) + r"|n['\u2019]t\b",
+            "after": rf"{words(self.links)}\s+(?:{words(self.negators, self.released)})",
+            "end": r"[,;:.!?|()\n]|" + words(self.breaks),
+            "answer": rf"[:?|][\s|*-]*{words(self.answers)}\s*(?=[.,;|)\n]|$)",
+            "example": rf"(?:{'|'.join(map(re.escape, self.examples))})\s*$",
         }
+        return {k: re.compile(v, re.IGNORECASE) for k, v in patterns.items()}
 
 
 class Marks:
-    """What one pass over a text finds of cues, headings and bold marks; matches are looked up in the sorted places."""
+    """What one pass over a text finds of cues, clauses, headings and bold marks; matches are looked up in the sorted places."""
 
     HEADING = re.compile(r"^#{1,4}[^\S\n]+(\S.*)$", re.MULTILINE)
 
     def __init__(self, text: str, cues: dict[str, re.Pattern]):
-        found = {name: [m.span() for m in cue.finditer(text)] for name, cue in cues.items()}
-        self.ahead = [end for _, end in found["ahead"]]
-        self.back, self.back_ends = [a for a, _ in found["back"]], [b for _, b in found["back"]]
-        self.noes = {a for a, b in found["answer"] if b - a <= ANSWER}
-        self.questions = [m.start() for m in re.finditer(r"\?", text)] if self.noes else []
+        places = lambda name: [m.start() for m in cues[name].finditer(text)] if name in cues else []
+        self.text, self.example = text, cues.get("example")
+        self.before, self.after, self.answers = places("before"), places("after"), set(places("answer"))
+        self.ends = [m.span() for m in cues["end"].finditer(text)] if cues else []
+        self.marks = [a for a, _ in self.ends if text[a] in ":?|"]
         self.headings = [(m.end(), m[1].lower()) for m in self.HEADING.finditer(text)]
         self.bold = [m.start() for m in re.finditer(r"\*\*", text)]
 
     def denies(self, start: int, end: int) -> bool:
-        k = bisect_right(self.ahead, start) - 1
-        if k >= 0 and start - self.ahead[k] < AHEAD:
-            return True
-        k = bisect_left(self.back, end)
-        if k < len(self.back) and self.back_ends[k] <= end + BACK:
-            return True
-        k = bisect_left(self.questions, end)
-        return k < len(self.questions) and self.questions[k] < end + QUESTION and self.questions[k] in self.noes
+        k = bisect_right(self.ends, (start, start))
+        opens = self.ends[k - 1][1] if k else 0
+        k = bisect_left(self.ends, (end, end))
+        closes = self.ends[k][0] if k < len(self.ends) else len(self.text)
+        return self._stands(self.before, max(opens, start - AHEAD), start) or self._stands(self.after, end, min(closes, end + BACK)) or self._is_example(start) or self._is_unanswered(end)
+
+    def _stands(self, places: list[int], first: int, last: int) -> bool:
+        k = bisect_left(places, first)
+        return k < len(places) and places[k] < last
+
+    def _is_example(self, start: int) -> bool:
+        return bool(self.example and self.example.search(self.text, max(0, start - ANSWER), start))
+
+    def _is_unanswered(self, end: int) -> bool:
+        """The next mark that asks for an answer gets an empty one: a colon or bar right behind the match, or the end of its question."""
+        k = bisect_left(self.marks, end)
+        if k == len(self.marks) or self.marks[k] not in self.answers:
+            return False
+        at = self.marks[k]
+        return at < end + QUESTION if self.text[at] == "?" else not self.text[end:at].strip()
 
     def confidence(self, start: int, rule: Rule) -> str:
         """The rule's own; a step up in bold, ``high`` under a nearest heading that has one of its words."""
@@ -109,7 +126,7 @@ def scan_patterns(docs: DataFrame, rules: Sequence[Rule], id_col: str = "doc_id"
             out = []
             for key, text in zip(batch[id_col], batch[text_col]):
                 hits = [(no, rule, m) for no, rule, pattern in compiled for m in pattern.finditer(text)]
-                marks = Marks(text, {k: cues.get(k, re.compile(r"(?!)")) for k in ("ahead", "back", "answer")}) if hits else None
+                marks = Marks(text, cues) if hits else None
                 for no, rule, m in hits:
                     a, b = m.span()
                     out.append((key, rule.category, rule.name, no, rule.value, marks.confidence(a, rule), m[0], a, b, marks.denies(a, b), text[max(0, a - CONTEXT) : b + CONTEXT]))
@@ -144,55 +161,3 @@ def reverse_search(refs: DataFrame, column: str, wanted: Column | str) -> DataFr
     """The rows that name an identifier, compared without case and separators."""
     plain = lambda c: F.upper(F.regexp_replace(c, "[^A-Za-z0-9]", ""))
     return refs.where(plain(F.col(column)) == plain(F.lit(wanted) if isinstance(wanted, str) else wanted))
-
-
-def token_sort_ratio(a: str, b: str) -> float:
-    """200 * longest common subsequence / summed length of the texts with words sorted; bit-parallel."""
-    a, b = (" ".join(sorted(x.split())) for x in (a, b))
-    if not a or not b:
-        return 0.0
-    at: dict[str, int] = {}
-    for i, ch in enumerate(a):
-        at[ch] = at.get(ch, 0) | 1 << i
-    full = (1 << len(a)) - 1
-    s = full
-    for ch in b:
-        u = s & at.get(ch, 0)
-        s = (s + u | s - u) & full
-    return 200.0 * (len(a) - s.bit_count()) / (len(a) + len(b))
-
-
-def match_names(raw: DataFrame, column: str, canonical: Sequence[str], rewrites: Sequence[tuple[str, str]] = (), threshold: float = 85.0, most_names: int = 2_000) -> DataFrame:
-    """``(column, canonical, method, confidence)`` for each distinct name: EXACT 100, PATTERN 95 (after ``rewrites``), FUZZY by score, else UNMAPPED 0.
-
-    ``canonical`` is a reference list and goes to each task: more than ``most_names`` are an error. Ties go to the earlier name. Only names
-    that the equal matches leave over are scored, each once.
-    """
-    if len(canonical) > most_names:
-        raise ValueError(f"{len(canonical)} canonical names; at most {most_names}")
-    by_lower: dict[str, str] = {}
-    for name in canonical:
-        by_lower[name.lower()] = name
-    known = F.create_map(*[F.lit(x) for kv in by_lower.items() for x in kv]) if by_lower else F.lit(None).cast("map<string,string>")
-    rewritten = reduce(lambda c, r: F.regexp_replace(c, r[0], r[1]), rewrites, F.col(column))
-    plain = F.trim(F.regexp_replace(rewritten, r"\s+", " "))
-    names = raw.select(column).where(F.col(column).isNotNull()).distinct().withColumn("_p", plain)
-    names = names.withColumn("_exact", known[F.lower(F.trim(column))]).withColumn("_pattern", known[F.lower("_p")])
-    found = names.where("_exact is not null or _pattern is not null").select(
-        column, F.coalesce("_exact", "_pattern").alias("canonical"), F.when(F.col("_exact").isNotNull(), "EXACT").otherwise("PATTERN").alias("method"), F.when(F.col("_exact").isNotNull(), 100.0).otherwise(95.0).alias("confidence")
-    )
-
-    @F.pandas_udf("canonical string, confidence double")
-    def nearest(texts: pd.Series) -> pd.DataFrame:
-        def best(text: str):
-            top = (None, 0.0)
-            for name in canonical:
-                if 200.0 * min(len(text), len(name)) >= threshold * (len(text) + len(name)) and (score := token_sort_ratio(text, name)) >= threshold and score > top[1]:
-                    top = (name, round(score, 2))
-            return top
-
-        return pd.DataFrame([best(" ".join(t.title().split())) for t in texts], columns=["canonical", "confidence"])
-
-    rest = names.where("_exact is null and _pattern is null").select(column, nearest("_p").alias("_n"))
-    method = F.when(F.col("_n.canonical").isNotNull(), "FUZZY").otherwise("UNMAPPED")
-    return found.unionByName(rest.select(column, "_n.canonical", method.alias("method"), "_n.confidence"))

@@ -1,5 +1,6 @@
 from itertools import product
 
+from tenderlake.operators import names as nm
 from tenderlake.operators import text as tx
 
 
@@ -13,13 +14,13 @@ def subsequence(a, b):
 def test_token_sort_ratio_equals_the_table():
     for a, b in product(["Senior Engineer", "engineer senior", "aab ba", "é x", "x"], repeat=2):
         p, q = (" ".join(sorted(x.split())) for x in (a, b))
-        assert tx.token_sort_ratio(a, b) == 200.0 * subsequence(p, q) / (len(p) + len(q))
-    assert tx.token_sort_ratio("", "a") == 0.0
+        assert nm.token_sort_ratio(a, b) == 200.0 * subsequence(p, q) / (len(p) + len(q))
+    assert nm.token_sort_ratio("", "a") == 0.0
 
 
 def test_match_names(spark):
     raw = spark.createDataFrame([("data analyst",), ("Sr. Engineer",), ("Enginer Senior",), ("Cook",), (None,), ("Cook",)], "name string")
-    got = {x.name: (x.canonical, x.method, x.confidence) for x in tx.match_names(raw, "name", ["Data Analyst", "Senior Engineer"], [(r"(?i)\bSr\.?(?=\s)", "Senior")]).collect()}
+    got = {x.name: (x.canonical, x.method, x.confidence) for x in nm.match_names(raw, "name", ["Data Analyst", "Senior Engineer"], [(r"(?i)\bSr\.?(?=\s)", "Senior")]).collect()}
     assert got == {"data analyst": ("Data Analyst", "EXACT", 100.0), "Sr. Engineer": ("Senior Engineer", "PATTERN", 95.0), "Enginer Senior": ("Senior Engineer", "FUZZY", 96.55), "Cook": (None, "UNMAPPED", 0.0)}
 
 
@@ -63,3 +64,13 @@ def test_denial_is_a_parameter(spark):
     german = tx.Denial(ahead_only=("kein", "ohne"))
     assert {x.doc_id: x.denied for x in tx.scan_patterns(docs, rules, denial=german).collect()} == {1: True, 2: False}
     assert not any(x.denied for x in tx.scan_patterns(docs, rules, denial=None).collect())
+
+
+def test_scope_of_a_denial():
+    cues = tx.Denial().cues()
+    denied = ["they don't hold any badge", "work such as badge", "the badge has never been asked for", "neither pass nor badge", "badge | none |"]
+    plain = ["no pass but a badge", "it is not cold. The badge", "(no pass) badge", "badge, which is not new", "no\nbadge", "badge | none of these", "the badge will remain"]
+    for want, texts in ((True, denied), (False, plain)):
+        for text in texts:
+            at = text.index("badge")
+            assert tx.Marks(text, cues).denies(at, at + 5) == want, text
