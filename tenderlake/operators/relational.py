@@ -9,6 +9,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tenderlake.operators import scale
+
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The first row of each key in ``order``; the order should end in a unique column."""
@@ -119,13 +121,15 @@ def concat_top(df: DataFrame, by: Sequence[str], value: str, n: int, sep: str =
 
 
 def percentiles(df: DataFrame, by: Sequence[str], value: str, points: Sequence[float], places: int = 4) -> DataFrame:
-    cols = [F.round(F.percentile(value, F.lit(p)), places).alias(f"p{round(p * 100)}") for p in points]
-    return df.groupBy(*by).agg(*cols, F.count(value).alias("n"))
+    """Exact interpolated percentiles by group; a group of any size spans tasks (``scale.quantiles``)."""
+    exact = scale.quantiles(df, by, value, points)
+    return exact.select(*by, *[F.round(f"q{i}", places).alias(f"p{round(p * 100)}") for i, p in enumerate(points)], "n")
 
 
-def capped_percentiles(df: DataFrame, by: Sequence[str], order: Sequence[Column], n: int, value: str, points: Sequence[float]) -> DataFrame:
-    """Percentiles over the n newest rows of each group: the cap is the feature."""
-    return percentiles(top_k(df, by, order, n), by, value, points)
+def capped_percentiles(df: DataFrame, by: Sequence[str], order: Sequence[Column], n: int, value: str, points: Sequence[float], places: int = 4) -> DataFrame:
+    """Percentiles over the n newest rows of each group: the cap is the feature, and bounds what meets in a task."""
+    cols = [F.round(F.percentile(value, F.lit(p)), places).alias(f"p{round(p * 100)}") for p in points]
+    return top_k(df, by, order, n).groupBy(*by).agg(*cols, F.count(value).alias("n"))
 
 
 def forecast(df: DataFrame, by: Sequence[str], x: str, y: str, at: float) -> DataFrame:
@@ -135,13 +139,8 @@ def forecast(df: DataFrame, by: Sequence[str], x: str, y: str, at: float) -> Dat
 
 
 def percentile_by_greater(df: DataFrame, value: str) -> DataFrame:
-    """Percent of rows with a greater value. Counted by distinct value; running sums are over those counts only."""
-    counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("n"))
-    greater = F.coalesce(F.sum("n").over(Window.orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    total = df.agg(F.count(F.lit(1)).alias("total"))
-    ranked = counts.withColumn("greater", greater).join(F.broadcast(total))
-    ranked = ranked.select(F.col(value).alias("_value"), F.round(100.0 * F.col("greater") / F.col("total"), 4).alias("pct_greater"))
-    return df.join(ranked, F.col(value).eqNullSafe(F.col("_value"))).drop("_value")
+    """Percent of rows with a greater value, by running counts over ranges of values."""
+    return scale.share_greater(df, value)
 
 
 def union_priority(parts: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
