@@ -13,13 +13,14 @@ from pyspark.sql import functions as F
 
 WORD = re.compile(r"\w+")
 STEM = 4
-MODEL = "words array<string>, weights array<double>, bias double"
+MODEL = "words binary, weights binary, bias double"
 
 
-def features(text: str) -> set[str]:
-    """The words of the whole text in lower case, and how those of over STEM letters begin, with a blank before it: forms of a word share that."""
+def features(text: str) -> np.ndarray:
+    """32-bit checksums, sorted, of the words of the whole text in lower case and of how those of over STEM letters begin: forms of a word share that."""
     words = set(WORD.findall(text.lower()))
-    return words | {" " + w[:STEM] for w in words if len(w) > STEM}
+    words.update([" " + w[:STEM] for w in words if len(w) > STEM])
+    return np.unique(np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words), np.uint32, len(words)))
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -31,13 +32,13 @@ def softplus(x: np.ndarray) -> np.ndarray:
 
 
 class Sparse:
-    """Texts as the indices of their words in a vocabulary, one flat array."""
+    """Texts as the places of their features in a sorted vocabulary, one flat array."""
 
-    def __init__(self, texts: list[set[str]], index: dict[str, int]):
-        rows = [np.fromiter((index[w] for w in t if w in index), np.int64) for t in texts]
+    def __init__(self, texts: list[np.ndarray], vocabulary: np.ndarray):
+        rows = [places(t, vocabulary) for t in texts]
         self.flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
         self.owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-        self.n, self.size = len(rows), len(index)
+        self.n, self.size = len(rows), len(vocabulary)
 
     def score(self, w: np.ndarray, bias: float) -> np.ndarray:
         return bias + np.bincount(self.owner, w[self.flat], self.n)
@@ -46,6 +47,11 @@ class Sparse:
         return np.bincount(self.flat, by_row[self.owner], self.size)
 
 
+def places(text: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
+    at = np.minimum(np.searchsorted(vocabulary, text), max(len(vocabulary) - 1, 0))
+    return at[vocabulary[at] == text] if len(vocabulary) else np.zeros(0, np.int64)
+
+
 def fit(positive: Sparse, unlabelled: Sparse, prior: float, steps: int, sparse: np.ndarray, ridge: float) -> tuple[np.ndarray, float]:
     """Weights and bias of least non-negative risk ``prior * R_p(+) + max(0, R_u(-) - prior * R_p(-))`` under logistic loss.
 
@@ -85,32 +91,25 @@ def boundary(p: np.ndarray, u: np.ndarray, prior: float) -> float:
     return float(middles[best[np.argmax(gaps[best])]])
 
 
-def train(texts: list[set[str]], confirmed: np.ndarray, apart: np.ndarray, prior: float, most_words: int, min_docs: int, steps: int, sparse: float, ridge: float) -> tuple[list[str], np.ndarray, float]:
-    """Words, weights and bias; the bias is moved so that 0.5 lies where the corrected risk of the texts apart is least."""
-    counts: dict[str, int] = {}
-    for t, x in zip(texts, apart, strict=True):
-        if not x:
-            for word in t:
-                counts[word] = counts.get(word, 0) + 1
-    words = sorted((w for w, n in counts.items() if n >= min_docs), key=lambda w: (-counts[w], w))[:most_words]
-
+def train(texts: list[np.ndarray], confirmed: np.ndarray, apart: np.ndarray, prior: float, most_words: int, min_docs: int, steps: int, sparse: float, ridge: float) -> tuple[np.ndarray, np.ndarray, float]:
+    """Vocabulary, weights and bias; the bias is moved so that 0.5 lies where the corrected risk of the texts apart is least."""
+    words, counts = np.unique(np.concatenate([t for t, x in zip(texts, apart, strict=True) if not x]), return_counts=True)
+    kept = np.sort(np.lexsort((words, -counts))[:most_words])
+    words, counts = words[kept][counts[kept] >= min_docs], counts[kept][counts[kept] >= min_docs]
     # What chance does to the share of a word among the confirmed texts (Bernstein's bound, over all words) is what its weight has to overcome.
     n, log = max(int((confirmed & ~apart).sum()), 1), np.log(len(words) + 2)
-    share = np.array([counts[w] for w in words]) / max(int((~apart).sum()), 1)
-    penalty = sparse * prior * (np.sqrt(2 * log * share / n) + log / (3 * n))
+    penalty = sparse * prior * (np.sqrt(2 * log * counts / max(int((~apart).sum()), 1) / n) + log / (3 * n))
+    pick = lambda mask, words: Sparse([t for t, x in zip(texts, mask, strict=True) if x], words)
 
-    def fitted(words: list[str], sparse: np.ndarray):
-        index = {w: i for i, w in enumerate(words)}
-        pick = lambda mask: Sparse([t for t, x in zip(texts, mask, strict=True) if x], index)
-        return pick, *fit(pick(confirmed & ~apart), pick(~confirmed & ~apart), prior, steps, sparse, ridge)
+    def fitted(words: np.ndarray, sparse: np.ndarray) -> tuple[np.ndarray, float]:
+        return fit(pick(confirmed & ~apart, words), pick(~confirmed & ~apart, words), prior, steps, sparse, ridge)
 
-    _, w, _ = fitted(words, penalty)
-    words, penalty = [words[i] for i in np.flatnonzero(w)], penalty[w != 0]
-    pick, w, bias = fitted(words, penalty / 10)
+    w, _ = fitted(words, penalty)
+    words, penalty = words[w != 0], penalty[w != 0]
+    w, bias = fitted(words, penalty / 10)
     if (confirmed & apart).any() and (~confirmed & apart).any():
-        bias -= boundary(pick(confirmed & apart).score(w, bias), pick(~confirmed & apart).score(w, bias), prior)
-    used = np.flatnonzero(w)
-    return [words[i] for i in used], w[used], bias
+        bias -= boundary(pick(confirmed & apart, words).score(w, bias), pick(~confirmed & apart, words).score(w, bias), prior)
+    return words[w != 0], w[w != 0], bias
 
 
 def score_toxicity(
@@ -151,23 +150,24 @@ def score_toxicity(
         for batch in batches:
             for text, x in zip(batch.column(0), batch.column(1), strict=True):
                 found = features(text.as_py())
-                rows.append((zlib.crc32(" ".join(sorted(found)).encode("utf-8", "surrogatepass")), x.as_py(), found))
+                rows.append((zlib.crc32(found.tobytes()), x.as_py(), found))
         rows.sort(key=lambda r: (r[0], r[1], len(r[2])))  # whatever order the rows come in
         confirmed, apart = np.array([r[1] for r in rows], bool), np.array([r[0] % 5 == 0 for r in rows], bool)
         if not (confirmed & ~apart).any() or not (~confirmed & ~apart).any():
             apart[:] = False
         if confirmed.any() and not confirmed.all():
             words, w, bias = train([r[2] for r in rows], confirmed, apart, share, most_words, min_docs, steps, sparse, ridge)
-            yield pa.RecordBatch.from_arrays([pa.array([words], pa.list_(pa.string())), pa.array([w.tolist()], pa.list_(pa.float64())), pa.array([bias])], ["words", "weights", "bias"])
+            yield pa.RecordBatch.from_arrays([pa.array([words.tobytes()]), pa.array([w.tobytes()]), pa.array([bias])], ["words", "weights", "bias"])
 
     model = chosen.repartition(1).mapInArrow(learn, MODEL).first()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight = dict(zip(model["words"], model["weights"], strict=True)) if model else {}
-        known = weight.keys()
+        if model:
+            words, w = np.frombuffer(model["words"], np.uint32), np.frombuffer(model["weights"])
         for batch in batches:
-            got = [float(share) if not model else model["bias"] + sum(weight[w] for w in sorted(known & features(x.as_py()))) for x in batch.column(1)]
-            score = np.array(got) if not model else sigmoid(np.array(got, float))
+            score = np.full(len(batch), float(share))
+            if model:
+                score = sigmoid(np.array([model["bias"] + w[places(features(x.as_py()), words)].sum() for x in batch.column(1)], float))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.float64()), pa.array((score >= 0.5).astype(np.int32))], ["_doc", "score", "predicted"])
 
     return own.mapInArrow(rows, "_doc long, score double, predicted int").withColumnRenamed("_doc", id_col)

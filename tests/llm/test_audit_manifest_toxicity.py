@@ -143,9 +143,9 @@ def test_non_negative_risk_stops_where_negatives_are_remembered():
     from tenderlake.llm.toxicity import Sparse, fit
 
     rng = np.random.default_rng(1)
-    index = {f"w{i}": i for i in range(60)}
-    text = lambda toxic: {f"w{rng.integers(3, 60)}" for _ in range(8)} | ({f"w{rng.integers(0, 3)}"} if toxic else set())
-    p, u = Sparse([text(True) for _ in range(200)], index), Sparse([text(rng.random() < 0.2) for _ in range(1000)], index)
+    words = np.arange(60, dtype=np.uint32)
+    text = lambda toxic: np.unique(np.append(rng.integers(3, 60, 8), rng.integers(0, 3) if toxic else rng.integers(3, 60))).astype(np.uint32)
+    p, u = Sparse([text(True) for _ in range(200)], words), Sparse([text(rng.random() < 0.2) for _ in range(1000)], words)
     w, bias = fit(p, u, 0.2, 200, 1e-3, 1e-5)
     assert w[:3].min() > 2 and np.abs(w[3:]).max() < w[:3].min() / 2
     assert 0.1 < (u.score(w, bias) > 0).mean() < 0.3  # as many as the prior says, though no negative was ever named
