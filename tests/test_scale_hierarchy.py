@@ -1,4 +1,5 @@
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -73,7 +74,8 @@ def test_captured_names_are_screened(spark):
     common = spark.createDataFrame([("provide",), ("support",)], "word string")
     got = sorted((r.id, r.name) for r in inc.capture_names(docs, "id", "text", common=common).collect())
     assert got == [(0, "Acme Systems, Inc"), (4, "Blue-Sky"), (5, "Delta X5"), (10, "Acme")]
-    assert {r.word for r in inc.common_words(docs, "text", 3).collect()} == {"is", "incumbent"} | {w for w in ("to", "by", "the", "contractor") if sum(f" {w} " in f" {t} " for t in texts if t) >= 3}
+    words = Counter(w for t in texts if t for w in set(re.findall(r"\b[a-z]+\b", t)))
+    assert {r.word for r in inc.common_words(docs, "text", 3).collect()} == {w for w, n in words.items() if n >= 3} != set()
 
 
 def test_one_holder_only(spark):
