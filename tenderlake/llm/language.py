@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +10,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LETTER = re.compile(r"[^\W\d_]")
 MULTIPLIER = 0x9E3779B1
 
 
@@ -59,7 +58,7 @@ def identify_language(
     ``learn_from`` is a condition on rows that may be learned from. About
     ``per_lang`` labelled texts of each language, chosen by a hash of the id,
     train the model in one task; that bound is the model's, not the data's.
-    A null text or one without a letter is ``und`` with score 0, and so is
+    A null text or one without a letter (``str.isalpha``) is ``und`` with score 0, and so is
     every text if there is nothing to learn from. Rows with null ids are judged
     too, repeated rows alike, very long texts whole; an empty table gives an
     empty table; other columns are not read.
@@ -76,7 +75,7 @@ def identify_language(
             texts += batch.column(0).to_pylist()
             langs += batch.column(1).to_pylist()
         if texts:
-            order = sorted(range(len(texts)), key=lambda i: (langs[i], texts[i]))  # whatever order the rows come in
+            order = sorted(range(len(texts)), key=lambda i: (langs[i], zlib.crc32(texts[i].encode("utf-8", "surrogatepass")), texts[i]))  # a draw, whatever order the rows come in
             names, marks, weights = fit([texts[i] for i in order], [langs[i] for i in order], landmarks, most, bits, ridge)
             yield pa.RecordBatch.from_arrays([pa.array([names]), pa.array([np.packbits(marks > 0, axis=1).tobytes()]), pa.array([weights.tobytes()])], ["names", "marks", "weights"])
 
@@ -90,7 +89,7 @@ def identify_language(
             weights = np.frombuffer(model["weights"], np.float32).reshape(len(bitmap), -1)
         for batch in batches:
             texts = [x.as_py() for x in batch.column(1)]
-            able = [i for i, x in enumerate(texts) if model and x and LETTER.search(x)]
+            able = [i for i, x in enumerate(texts) if model and x and any(map(str.isalpha, x))]
             pred, score = ["und"] * len(texts), [0.0] * len(texts)
             for k in range(0, len(able), 64):
                 part = able[k : k + 64]

@@ -157,3 +157,36 @@ def test_pipeline_stages_on_awkward_rows(spark):
     packed = stages["packing"](spark, out, "").collect()
     assert sum(r.length == len(r.ids) for r in packed) == len(packed) >= len(got)
     assert stages["quality_rules"](spark, docs.limit(0), "").count() == 0
+
+
+def test_two_runs_of_the_pipeline_in_one_session(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rows = [(i, " ".join(words(40, f"w{i % 7}x{i}")), "en", f"s{i % 3}") for i in range(30)]
+    spark.createDataFrame(rows, SCHEMA).withColumn("n_chars", F.length("text").cast("long")).write.parquet(f"{tmp_path}/documents.parquet")
+    one = pipeline.run(spark, str(tmp_path))
+    two = pipeline.run(spark, str(tmp_path))
+    assert sorted(map(str, one.drop("sequence_id", "offset").collect())) == sorted(map(str, two.drop("sequence_id", "offset").collect())) and one.count() == 30
+
+
+def test_numbers_are_no_letters(spark):
+    from tenderlake.llm.language import identify_language
+
+    rows = [(i, "the cat and the dog " + str(i), "en", None) for i in range(20)] + [(50 + i, "der hund und die katze " + str(i), "de", None) for i in range(20)] + [(99, "\u00b2 \u00bd \u2167", "en", None)]
+    got = {r.doc_id: r.lang_pred for r in identify_language(spark.createDataFrame(rows, SCHEMA), F.lit(True)).collect()}
+    assert got[99] == "und" and got[1] == "en"
+
+
+def test_a_kind_with_few_hits_takes_the_threshold_of_all():
+    import numpy as np
+
+    from tenderlake.llm.pii import CAUTIOUS, KINDS, fit
+
+    rng = np.random.default_rng(0)
+    kinds, signal = rng.integers(0, 2, 4000), rng.random(4000)
+    level = (signal * 90).astype(int)
+    x, y = np.stack([kinds, level, level], 1), (level > 45).astype(int)
+    x[:6, 0] = 3
+    _, cuts = fit(x, y, np.arange(4000) % 4, 0.95)
+    assert len(cuts) == len(KINDS) and all(0.5 <= c < 1 for c in cuts) and cuts[2] == cuts[3]
+    _, few = fit(x[:8], y[:8], np.arange(8) % 4, 0.95)
+    assert set(few) == {CAUTIOUS}
