@@ -103,3 +103,8 @@ def freshness(last_runs: DataFrame, limits: DataFrame, source: str, at: str, as_
     age = (F.unix_timestamp(F.lit(as_of).cast("timestamp")) - F.unix_timestamp("_at")) / 3600.0
     status = F.when(F.col("age_hours").isNull(), "NEVER").when(F.col("age_hours") > F.col("hours"), "STALE").when(F.col("age_hours") > 0.8 * F.col("hours"), "WARNING").otherwise("OK")
     return limits.join(last, source, "left").withColumn("age_hours", age).withColumn("status", status).drop("_at")
+
+
+def refresh_rows(table: DataFrame, changed: DataFrame, fresh: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``table`` with the rows of ``changed`` keys replaced by those of ``fresh``; a changed key without a fresh row is gone. The rest is not computed again."""
+    return table.join(changed.select(*keys).distinct(), list(keys), "left_anti").unionByName(fresh)

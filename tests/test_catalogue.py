@@ -7,7 +7,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from tenderlake.plans import catalogue, constructs, intake, marts, resolution, scores, services, views  # noqa: F401
+from tenderlake.plans import catalogue, constructs, full_views, intake, marts, resolution, scores, services, views  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 
