@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tenderlake.operators import cleaning as cl
@@ -9,6 +10,7 @@ from tenderlake.operators import loads as ld
 from tenderlake.operators import passages as ps
 from tenderlake.operators import text as tx
 from tenderlake.plans.catalogue import Tables, query
+from tenderlake.sources import determinations as det
 
 NOW = "2024-01-10 00:00:00"
 K = "event_id % 7"
@@ -94,3 +96,33 @@ AT = {
 def citation_offsets(t):
     """A quote of each document, changed in case, in white space, at its end or throughout, and where it stands."""
     return ps.cite(t.documents.selectExpr("doc_id", "text", f"{QUOTE} AS quote"), "text", "quote").select("doc_id", "offset", "how")
+
+
+CODE = "lpad(CAST(l_partkey % 100000 AS STRING), 5, '0')"
+CENTS = "lpad(CAST(l_linenumber * 7 AS STRING), 2, '0')"
+WAGES = f"""SELECT o_custkey, o_orderkey, revision, o_orderdate, {CODE} AS code, CAST(l_quantity AS INT) AS dollars, {CENTS} AS cents, l_linenumber, l_returnflag = 'N' AS noted FROM lineitem
+    JOIN (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS revision FROM orders) ON o_orderkey = l_orderkey"""
+
+
+def wage_texts(t: Tables):
+    """A determination for each order, a revision of its customer's, with a rate for each of its lines."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    rows = t.lineitem.join(t.orders.withColumn("revision", F.row_number().over(w)), F.col("o_orderkey") == F.col("l_orderkey"))
+    line = F.expr(f"concat('  ', {CODE}, ' - Grade ', l_linenumber, CASE WHEN l_returnflag = 'N' THEN ' ** see note 2' ELSE concat('     $ 1,', lpad(CAST(CAST(l_quantity AS INT) AS STRING), 3, '0'), '.', {CENTS}) END)")
+    lines = rows.groupBy("o_custkey", "revision", "o_orderdate").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("lines"))
+    head = F.concat(F.lit("WAGE DETERMINATION UNDER THE SERVICE CONTRACT ACT OF EVERY YEAR AND PLACE\nWage Determination No: 2015-"), F.lpad((10000 + F.col("o_custkey") % 90000).cast("string"), 5, "0"), F.lit("\nRevision No.: "), F.col("revision"), F.lit("\nDate Of Last Revision: "), F.date_format("o_orderdate", "MM/dd/yyyy"))
+    return lines.select(F.concat(head, F.lit("\nState: Maine, Ohio\nArea: One County\n and Another\n\nOCCUPATION CODE - TITLE   RATE\n"), F.col("lines"), F.lit("\n________\nHEALTH & WELFARE: $5.36 per hour\n99999 - Later ** see note\n")).alias("value"))
+
+
+@query(f"""WITH w AS ({WAGES}), r AS (SELECT concat('2015-', 10000 + o_custkey % 90000) AS wd_number, revision, code, concat('Grade ', l_linenumber) AS title, CASE WHEN NOT noted THEN CAST(1000 + dollars + CAST(cents AS INT) / 100.0 AS DOUBLE) END AS rate, noted,
+      concat('  ', code, ' - Grade ', l_linenumber, CASE WHEN noted THEN ' ** see note 2' ELSE concat('     $ 1,', lpad(CAST(dollars AS VARCHAR), 3, '0'), '.', cents) END) AS line FROM w),
+    k AS (SELECT *, row_number() OVER (PARTITION BY wd_number, revision, code ORDER BY noted, line) AS n FROM r) SELECT wd_number, CAST(revision AS INT) AS revision, code AS occupation_code, title AS occupation_title, rate AS hourly_rate FROM k WHERE n = 1""")
+def wage_rates(t):
+    return det.rates_of(det.parse_determinations(wage_texts(t))).withColumn("hourly_rate", F.col("hourly_rate").cast("double"))
+
+
+@query(f"""WITH w AS (SELECT DISTINCT o_custkey, revision, o_orderdate FROM ({WAGES})) SELECT concat('2015-', 10000 + o_custkey % 90000) AS wd_number, CAST(revision AS INT) AS revision, strftime(o_orderdate, '%Y-%m-%d') AS effective_date, 'ME' AS state_code, 'Maine, Ohio - One County and Another' AS title, 5.36::DOUBLE AS health_welfare,
+    revision = max(revision) OVER (PARTITION BY o_custkey) AS is_current FROM w""")
+def wage_determinations(t):
+    got = det.with_current(det.parse_determinations(wage_texts(t)))
+    return got.select("wd_number", "revision", F.col("effective_date").cast("string").alias("effective_date"), "state_code", "title", F.col("health_welfare").cast("double").alias("health_welfare"), "is_current")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tenderlake.functions.columns import flagged_codes
@@ -58,3 +58,46 @@ def date_windows(spark: SparkSession, start: str, end: str, days: int = 365) ->
 def child_rows(parents: DataFrame, key: str, column: str, separator: str = "~") -> DataFrame:
     """``(key, code, flag)``: a row for each part of a separated list, its last character split off as the flag if it is Y or N."""
     return parents.select(key, F.inline(flagged_codes(F.col(column), separator)))
+
+
+def ordered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``(value, file, split, line)``: lines whose order in a file is that of ``split`` and ``line``, however the file is cut over tasks."""
+    return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("line"))
+
+
+def number_runs(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` (with ``file``, ``split`` and ``line``) and ``run``: consecutive rows of a file with the same key have the same one.
+
+    Runs are counted within each split; a table of one row a split tells
+    whether its first run goes on from the split before, over as many splits as it spans.
+    """
+    here = Window.partitionBy("file", "split").orderBy("line")
+    fresh = F.coalesce((~F.col(key).eqNullSafe(F.lag(key).over(here))).cast("int"), F.lit(1))
+    first = F.row_number().over(here) == 1
+    rows = rows.withColumn("_fresh", F.when(first, 1).otherwise(fresh)).withColumn("_run", F.sum("_fresh").over(here.rowsBetween(Window.unboundedPreceding, 0)))
+    splits = rows.groupBy("file", "split").agg(F.min_by(F.struct(key), "line").alias("_first"), F.max_by(F.struct(key), "line").alias("_last"), F.max("_run").alias("_runs"))
+    order = Window.partitionBy("file").orderBy("split")
+    goes_on = F.coalesce(F.lag("_last").over(order).eqNullSafe(F.col("_first")), F.lit(False)) & F.lag("_last").over(order).isNotNull()
+    splits = splits.withColumn("_on", goes_on)
+    own = F.when((F.col("_runs") > 1) | ~F.col("_on"), F.struct("split", F.col("_runs").alias("run")))
+    splits = splits.withColumn("_ends", F.last(own, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    splits = splits.withColumn("_from", F.when(F.col("_on"), F.lag("_ends").over(order))).select(F.col("file").alias("_f"), F.col("split").alias("_s"), "_from")
+    joined = rows.join(splits, (F.col("file") == F.col("_f")) & (F.col("split") == F.col("_s")))
+    run = F.when((F.col("_run") == 1) & F.col("_from").isNotNull(), F.col("_from")).otherwise(F.struct("split", F.col("_run").alias("run")))
+    return joined.withColumn("run", run).drop("_fresh", "_run", "_f", "_s", "_from")
+
+
+def scan_extract_runs(spark: SparkSession, path: str, columns: Sequence[str], key: str, collect: Sequence[str] = ()) -> DataFrame:
+    """As :func:`scan_extract`, but only neighbouring rows of one key are one record: its first row, and ``more_<column>`` with what the rows after it have in ``collect``.
+
+    A key that comes again further down is a record of its own.
+    """
+    body = ordered_lines(spark, path).where(~F.col("value").rlike("^(BOF|EOF)\\b")).withColumn("value", F.regexp_replace("value", r"\|\\\|", "||"))
+    parts = body.withColumn("p", F.split("value", r"\|", -1)).where(F.size("p") >= len(columns))
+    rows = parts.select("file", "split", "line", *[F.when(F.trim(F.col("p")[i]) != "", F.trim(F.col("p")[i])).alias(c) for i, c in enumerate(columns)]).where(F.col(key).isNotNull())
+    at = F.struct("split", "line")
+    record = number_runs(rows, key).groupBy("file", "run").agg(
+        F.min(at).alias("_at"), F.min_by(F.struct(*columns), at).alias("_r"), *[F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct(at.alias("at"), F.col(c).alias("v"))))).alias(f"_{c}") for c in collect]
+    )
+    more = [F.transform(F.filter(f"_{c}", lambda x: x["at"] > F.col("_at")), lambda x: x["v"]).alias(f"more_{c}") for c in collect]
+    return record.select(*[F.col("_r")[c].alias(c) for c in columns], *more)
