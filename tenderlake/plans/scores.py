@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tenderlake.functions import columns as c
+from tenderlake.operators import estimates as es
 from tenderlake.operators import scoring as s
 from tenderlake.plans.catalogue import AS_OF, n_rows, query
 
@@ -155,3 +156,45 @@ def score_incumbent_vulnerability(t):
 def awards_by_order(t):
     rows = t.lineitem.withColumn("v", c.money(F.col("l_extendedprice")))
     return rows.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(n_rows().alias("n"), F.count_distinct("l_suppkey").alias("vendors"), F.sum("v").cast("double").alias("spent"), F.count_if(F.col("l_returnflag") == "A").alias("a"))
+
+
+IGCE_AWARD = "o_orderkey, o_orderpriority AS code, o_custkey AS sol, o_totalprice AS price, o_orderdate AS starts"
+
+
+@query(f"""WITH q AS (SELECT c_custkey AS id, c_custkey AS sol, CASE WHEN c_nationkey > 3 THEN CASE c_nationkey % 3 WHEN 0 THEN '1-URGENT' WHEN 1 THEN '5-LOW' ELSE 'none' END END AS code, CASE WHEN c_acctbal > 0 THEN CAST(c_nationkey AS BIGINT) END AS months FROM customer),
+    a AS (SELECT {IGCE_AWARD} FROM orders), h AS (SELECT code, round(avg(price), 2) AS e, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY starts DESC, o_orderkey) AS r FROM a WHERE starts >= TIMESTAMP '{AS_OF}' - INTERVAL 60 MONTH AND price > 0) WHERE r <= 500 GROUP BY 1),
+    m AS (SELECT p_brand, quantile_cont(p_retailprice, 0.5) AS med, count(*) AS n FROM part GROUP BY 1), x AS (SELECT o_custkey AS id, p_brand, sum(CAST(l_quantity AS BIGINT)) AS hours FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey WHERE l_returnflag = 'R' GROUP BY 1, 2),
+    l AS (SELECT id, sum(med * hours) AS s, CAST(sum(n) AS BIGINT) AS n FROM x JOIN m ON m.p_brand = x.p_brand GROUP BY 1), b AS (SELECT sol, price, date_diff('day', CAST(starts AS DATE), DATE '{AS_OF}') / 30.0 AS mo FROM (SELECT *, row_number() OVER (PARTITION BY sol ORDER BY starts DESC, o_orderkey) AS r FROM a) WHERE r = 1),
+    u AS (SELECT id, e, CASE WHEN n >= 50 THEN 0.8 WHEN n >= 20 THEN 0.6 WHEN n >= 10 THEN 0.4 ELSE 0.2 END::DOUBLE AS c FROM q JOIN h ON h.code = q.code UNION ALL SELECT q.id, round(s * CASE WHEN months > 0 THEN months / 12.0::DOUBLE ELSE 1.0 END, 2), 0.7 FROM q JOIN l ON l.id = q.id UNION ALL SELECT id, round(price / mo::DOUBLE * coalesce(months, 12), 2), 0.5 FROM q JOIN b ON b.sol = q.sol WHERE mo > 0),
+    s AS (SELECT id, sum(e * c) / sum(c) AS e, avg(c) AS c, count(*) AS n FROM u GROUP BY 1)
+    SELECT q.id, round(round(e, 2), 0) AS estimate, coalesce(n, 0) AS n_methods, CASE WHEN round(c, 6) >= 0.7 THEN 'High' WHEN round(c, 6) >= 0.4 THEN 'Medium' WHEN c IS NOT NULL THEN 'Low' ELSE 'None' END AS level FROM q LEFT JOIN s ON s.id = q.id""")
+def igce_ensemble(t):
+    """An estimate for each customer as a request, by analogous awards, by labour and by the burn rate of its last award."""
+    code = "CASE WHEN c_nationkey > 3 THEN CASE c_nationkey % 3 WHEN 0 THEN '1-URGENT' WHEN 1 THEN '5-LOW' ELSE 'none' END END AS code"
+    q = t.customer.selectExpr("c_custkey AS id", "c_custkey AS sol", code, "CASE WHEN c_acctbal > 0 THEN CAST(c_nationkey AS BIGINT) END AS months")
+    a, now = t.orders.selectExpr(*IGCE_AWARD.split(", ")), F.lit(AS_OF).cast("timestamp")
+    wide = t.lineitem.where("l_returnflag = 'R'").join(t.orders, F.col("o_orderkey") == F.col("l_orderkey")).join(t.part, F.col("p_partkey") == F.col("l_partkey"))
+    mix = wide.groupBy(F.col("o_custkey").alias("id"), "p_brand").agg(F.sum(F.col("l_quantity").cast("long")).alias("hours"))
+    methods = [
+        es.by_analog(q, a, "id", "code", "price", "starts", [F.asc("o_orderkey")], now), es.by_labor(q, mix, t.part, "id", "p_brand", "hours", "p_retailprice", "months"),
+        es.by_burn_rate(q, a, "id", "sol", "price", "starts", [F.asc("o_orderkey")], "months", now),
+    ]
+    return es.ensemble(q, methods, "id").select("id", F.round("estimate", 0).alias("estimate"), "n_methods", "level")
+
+
+FIXED = "CASE WHEN p_size > 40 THEN 30 WHEN p_size > 20 THEN 20 WHEN p_size > 5 THEN 10 ELSE 0 END + CAST(p_partkey % 11 AS INT)"
+VARYING = "CASE standing WHEN 0 THEN 40 WHEN 1 THEN 30 ELSE 15 END + CASE WHEN p_retailprice < s_acctbal THEN 10 ELSE 0 END"
+NEED = "CASE p_type WHEN 'PROMO' THEN 'A' WHEN 'ECONOMY' THEN 'B' WHEN 'LARGE' THEN 'C' END"
+
+
+@query(f"""WITH d AS (SELECT *, {NEED} AS need FROM (SELECT *, row_number() OVER (PARTITION BY p_name, p_brand, p_type ORDER BY p_retailprice DESC, p_partkey DESC) AS r FROM part) WHERE r = 1),
+    c AS (SELECT l_suppkey, p_brand, min(standing) AS standing FROM (SELECT l_suppkey, p_brand, CASE WHEN l_quantity = 50 THEN 0 WHEN l_quantity = 49 THEN 1 WHEN l_discount > 0.09 THEN 2 END AS standing FROM lineitem JOIN part ON p_partkey = l_partkey) WHERE standing IS NOT NULL GROUP BY 1, 2),
+    h AS (SELECT DISTINCT l_suppkey, l_returnflag AS cert FROM lineitem WHERE l_tax > 0.079), m AS (SELECT c.l_suppkey, p_partkey, {FIXED} + {VARYING} AS score FROM c JOIN supplier ON s_suppkey = c.l_suppkey JOIN d ON d.p_brand = c.p_brand WHERE need IS NULL OR EXISTS (SELECT 1 FROM h WHERE h.l_suppkey = c.l_suppkey AND h.cert = need)),
+    k AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY score DESC, p_partkey) AS rank FROM m) SELECT l_suppkey, p_partkey, score, rank FROM k WHERE rank <= 10""")
+def recommend_notices(t):
+    """The ten best parts, as notices, for each supplier: codes from three sources, the newest of each solicitation, certificates, scores."""
+    notices = es.newest_of(t.part.withColumn("sol", F.concat_ws("|", "p_name", "p_brand", "p_type")), "sol", "p_partkey", "p_retailprice").withColumn("need", F.expr(NEED))
+    line = t.lineitem.join(t.part.select("p_partkey", "p_brand"), F.col("p_partkey") == F.col("l_partkey"))
+    codes = es.candidate_codes([line.where("l_quantity = 50"), line.where("l_quantity = 49"), line.where("l_discount > 0.09")], "l_suppkey", "p_brand").join(t.supplier, F.col("s_suppkey") == F.col("l_suppkey"))
+    certs = t.lineitem.where("l_tax > 0.079").select("l_suppkey", "l_returnflag")
+    return es.recommend(codes, notices, certs, "l_suppkey", "p_brand", "p_partkey", "need", 10, F.expr(FIXED), F.expr(VARYING), 15, 50)
