@@ -31,15 +31,18 @@ def same(a: DataFrame, b: DataFrame, keys: Sequence[str]):
     return out
 
 
-def ordered_counts(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+def ordered_counts(df: DataFrame, by: Sequence[str], value: str, weight: str | None = None) -> DataFrame:
     """``(by, value, n, below, known)``: for each distinct value of a group its rows, the rows of lesser values, and all rows with a value.
 
+    With a ``weight`` rows count as much as it says, 0 included.
+
     Rows are first counted by value, where they are. The counts are dealt by
     ranges of group and value, so that a large group spans tasks; each range
     tells its sum by group, and the sums of the ranges before are added to the
     running sum within one. Nulls stand in a row of their own that counts for nobody.
     """
-    counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("n")).withColumn("_w", F.when(F.col(value).isNotNull(), F.col("n")).otherwise(F.lit(0)))
+    counted = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    counts = df.groupBy(*by, value).agg(counted.alias("n")).withColumn("_w", F.when(F.col(value).isNotNull(), F.col("n")).otherwise(F.lit(0)))
     ranged = cut(counts.repartitionByRange(*by, value).withColumn("_range", F.spark_partition_id()))
     keys = [*by, "_range"]
     sizes = ranged.groupBy(*keys).agg(F.sum("_w").alias("_here"))

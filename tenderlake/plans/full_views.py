@@ -9,6 +9,7 @@ from tenderlake.functions import columns as c
 from tenderlake.operators import changes as ch
 from tenderlake.operators import identifiers as ids
 from tenderlake.operators import relational as r
+from tenderlake.operators import relevance as rel
 from tenderlake.plans.catalogue import AS_OF, Tables, query
 
 AWARD = "o_custkey AS office, p_size AS naics, p_size // 10 AS sector, l_suppkey AS vendor, l_returnflag AS aside, o_orderpriority AS competed, o_orderdate AS signed, l_shipdate AS done, l_shipdate + CASE WHEN l_quantity > 40 THEN INTERVAL 30 DAY ELSE INTERVAL 0 DAY END AS ultimate, o_orderkey, l_linenumber, l_extendedprice AS price"
@@ -120,3 +121,23 @@ def view_predecessor_candidates(t):
     awards = t.orders.selectExpr(f"{NUMBER.format('o_order', chr(39) + 'C' + chr(39))} AS value", "o_orderkey AS award", "o_orderpriority", "o_totalprice")
     found = ids.extract_identifiers(notices(t), "o_orderkey", "text")
     return ids.predecessors(found, "o_orderkey", t.orders, "o_custkey", awards, "value", ["award", "o_orderpriority", "o_totalprice"])
+
+
+PAST = f"""SELECT concat(l_suppkey, '|', p_brand, '|', p_type) AS past_id, l_suppkey AS org_id, p_brand AS code, CASE WHEN p_type <> 'PROMO' THEN p_type END AS agency, CASE WHEN max(l_discount) > 0.01 THEN max(l_extendedprice) / 50.0 END AS value, date_diff(DAY, max(l_shipdate), TIMESTAMP '{AS_OF}') / 365.25 AS years FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity = 50 AND l_tax > 0.07 GROUP BY l_suppkey, p_brand, p_type"""
+WANTED = "SELECT p_partkey AS notice_id, p_brand AS code, p_type AS agency, CASE WHEN p_size % 5 > 0 THEN p_retailprice END AS value FROM part WHERE p_size > 10"
+OWN_CODES = "SELECT DISTINCT l_suppkey AS org_id, p_brand AS code FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity = 50 AND l_tax < 0.01"
+
+
+@query(f"""WITH p AS ({PAST.replace('date_diff(DAY, ', "date_diff('day', ")}), o AS ({WANTED}), n AS ({OWN_CODES}), m AS (SELECT past_id, notice_id, p.code IS NOT DISTINCT FROM o.code AS code_match, coalesce(p.agency = o.agency, false) AS agency_match,
+      CASE WHEN p.value > 0 AND o.value > 0 THEN least(p.value, o.value) / greatest(p.value, o.value) END AS alike, years FROM p JOIN o ON o.code = p.code OR EXISTS (SELECT 1 FROM n WHERE n.org_id = p.org_id AND n.code = o.code)),
+    s AS (SELECT *, CASE WHEN code_match THEN 35.0::DOUBLE ELSE 0.0 END + CASE WHEN agency_match THEN 25.0::DOUBLE ELSE 0.0 END + coalesce(alike, 0.0) * 20.0::DOUBLE + CASE WHEN years <= 3 THEN 20.0::DOUBLE WHEN years <= 5 THEN 10.0 ELSE 0.0 END AS score FROM m),
+    k AS (SELECT *, row_number() OVER (PARTITION BY past_id ORDER BY score DESC, notice_id) AS rank FROM s) SELECT past_id, notice_id, code_match, agency_match, round(alike, 2) AS value_similarity, round(score, 1) AS score, rank FROM k WHERE rank <= 100""")
+def view_past_performance_match(t):
+    """The hundred most relevant parts, as notices, for each past contract, through its own code or any of its supplier's."""
+    line, day = t.lineitem.join(t.part, F.col("p_partkey") == F.col("l_partkey")).where("l_quantity = 50"), F.datediff(F.lit(AS_OF).cast("date"), F.max("l_shipdate"))
+    value = F.when(F.max("l_discount") > 0.01, F.max("l_extendedprice") / 50.0)
+    past = line.where("l_tax > 0.07").groupBy("l_suppkey", "p_brand", "p_type").agg(value.alias("value"), (day / 365.25).alias("years"))
+    past = past.select(F.concat_ws("|", "l_suppkey", "p_brand", "p_type").alias("past_id"), F.col("l_suppkey").alias("org_id"), F.col("p_brand").alias("code"), F.when(F.col("p_type") != "PROMO", F.col("p_type")).alias("agency"), "value", "years")
+    notices = t.part.where("p_size > 10").select(F.col("p_partkey").alias("notice_id"), F.col("p_brand").alias("code"), F.col("p_type").alias("agency"), F.when(F.col("p_size") % 5 > 0, F.col("p_retailprice")).alias("value"))
+    own = line.where("l_tax < 0.01").select(F.col("l_suppkey").alias("org_id"), F.col("p_brand").alias("code")).distinct()
+    return rel.most_relevant(past, notices, own, 100)
