@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tenderlake.operators import cleaning as cl
 from tenderlake.operators import loads as ld
 from tenderlake.operators import passages as ps
+from tenderlake.operators import record_load as rl
 from tenderlake.operators import text as tx
 from tenderlake.plans.catalogue import Tables, query
 from tenderlake.sources import determinations as det
@@ -126,3 +127,34 @@ def wage_rates(t):
 def wage_determinations(t):
     got = det.with_current(det.parse_determinations(wage_texts(t)))
     return got.select("wd_number", "revision", F.col("effective_date").cast("string").alias("effective_date"), "state_code", "title", F.col("health_welfare").cast("double").alias("health_welfare"), "is_current")
+
+
+VERSIONS = "SELECT CASE WHEN o_orderkey % 97 = 0 THEN NULL ELSE o_custkey END AS k, o_orderkey, o_orderdate, o_orderstatus AS status, o_orderpriority AS priority FROM orders"
+CHAIN = f"""v AS ({VERSIONS}), b AS (SELECT c_custkey, CASE WHEN c_nationkey > 9 THEN 'F' END AS status, '5-LOW' AS priority FROM customer WHERE c_custkey % 2 = 0),
+    c AS (SELECT v.*, lag(o_orderkey) OVER w IS NOT NULL OR c_custkey IS NOT NULL AS known, CASE WHEN lag(o_orderkey) OVER w IS NOT NULL THEN lag(v.status) OVER w ELSE b.status END AS was_status, CASE WHEN lag(o_orderkey) OVER w IS NOT NULL THEN lag(v.priority) OVER w ELSE b.priority END AS was_priority
+      FROM v LEFT JOIN b ON c_custkey = k WHERE k IS NOT NULL WINDOW w AS (PARTITION BY k ORDER BY o_orderdate, o_orderkey)),
+    d AS (SELECT *, CASE WHEN NOT known THEN 'inserted' WHEN status IS DISTINCT FROM was_status OR priority IS DISTINCT FROM was_priority THEN 'updated' ELSE 'unchanged' END AS outcome FROM c)"""
+
+
+def loaded(t: Tables):
+    """Each order as a new version of its customer's record, on top of a table of every second customer; some orders tell no customer."""
+    table = t.customer.where("c_custkey % 2 = 0").selectExpr("c_custkey AS k", "CASE WHEN c_nationkey > 9 THEN 'F' END AS status", "'5-LOW' AS priority", "CAST(-1 AS BIGINT) AS o_orderkey")
+    incoming = t.orders.selectExpr("CASE WHEN o_orderkey % 97 = 0 THEN NULL ELSE o_custkey END AS k", "o_orderstatus AS status", "o_orderpriority AS priority", "o_orderkey", "concat(date_format(o_orderdate, 'yyyyMMddHHmmss'), lpad(cast(o_orderkey as string), 12, '0')) AS at")
+    return rl.load_records(table, incoming, ["k"], ["status", "priority"], "at", "load")
+
+
+@query(f"WITH {CHAIN} SELECT count(*) + (SELECT count(*) FROM v WHERE k IS NULL) AS records_read, count(*) FILTER (outcome = 'inserted') AS records_inserted, count(*) FILTER (outcome = 'updated') AS records_updated, count(*) FILTER (outcome = 'unchanged') AS records_unchanged, (SELECT count(*) FROM v WHERE k IS NULL) AS records_errored FROM d")
+def record_load_counts(t):
+    return loaded(t).counts
+
+
+@query(f"""WITH {CHAIN} SELECT k, strftime(o_orderdate, '%Y%m%d%H%M%S') || lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS version, field, old_value, new_value FROM (
+    SELECT *, 'status' AS field, was_status AS old_value, status AS new_value FROM d UNION ALL SELECT *, 'priority', was_priority, priority FROM d) WHERE outcome = 'updated' AND old_value IS DISTINCT FROM new_value""")
+def record_load_history(t):
+    return loaded(t).history.select("k", F.col("at").alias("version"), "field", "old_value", "new_value")
+
+
+@query(f"""WITH {CHAIN}, l AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM d WHERE outcome <> 'unchanged')
+    SELECT k, status, priority, o_orderkey FROM l WHERE r = 1 UNION ALL SELECT c_custkey, status, priority, -1 FROM b WHERE c_custkey NOT IN (SELECT k FROM l)""")
+def record_load_table(t):
+    return loaded(t).table
