@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tenderlake.functions import columns as c
 from tenderlake.operators import estimates as es
+from tenderlake.operators import partners as pa
 from tenderlake.operators import scoring as s
 from tenderlake.plans.catalogue import AS_OF, n_rows, query
 
@@ -198,3 +199,37 @@ def recommend_notices(t):
     codes = es.candidate_codes([line.where("l_quantity = 50"), line.where("l_quantity = 49"), line.where("l_discount > 0.09")], "l_suppkey", "p_brand").join(t.supplier, F.col("s_suppkey") == F.col("l_suppkey"))
     certs = t.lineitem.where("l_tax > 0.079").select("l_suppkey", "l_returnflag")
     return es.recommend(codes, notices, certs, "l_suppkey", "p_brand", "p_partkey", "need", 10, F.expr(FIXED), F.expr(VARYING), 15, 50)
+
+
+P_CODE = "concat(lpad(CAST(p_size AS STRING), 2, '0'), p_brand)"
+LINES = f"(SELECT l_suppkey AS partner, o_custkey AS org, o_orderpriority AS agency, o_orderdate AS signed, l_quantity AS q, l_returnflag AS flag, l_linestatus AS stat, l_tax, {P_CODE} AS code FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey)"
+REQUESTS = "SELECT c_custkey AS request, c_custkey AS org, CASE WHEN c_nationkey > 2 THEN concat(lpad(CAST(1 + c_custkey % 50 AS STRING), 2, '0'), 'Brand#', 1 + c_custkey % 25) END AS code, CASE c_custkey % 3 WHEN 0 THEN '1-URGENT' WHEN 1 THEN '5-LOW' END AS agency, CASE WHEN c_nationkey % 2 = 0 THEN 'SB' END AS set_aside FROM customer WHERE c_acctbal > 0"
+TYPE = "CASE WHEN s_nationkey % 4 = 1 THEN 'a2' WHEN s_nationkey % 4 = 2 THEN 'ZZ' WHEN s_nationkey % 4 = 3 THEN 'YY' END"
+
+
+@query(f"""WITH f AS {LINES}, q AS ({REQUESTS}), t AS (SELECT s_suppkey AS partner, {TYPE} AS type FROM supplier WHERE {TYPE} IS NOT NULL), g AS (SELECT c_custkey AS org, CASE WHEN c_acctbal > 5000 THEN 'zz' ELSE 'Q' END AS type FROM customer),
+    s AS (SELECT DISTINCT partner, org FROM f WHERE q = 50), pc AS (SELECT DISTINCT partner, code FROM f WHERE q >= 48), oc AS (SELECT DISTINCT org, code FROM f WHERE q = 47), aw AS (SELECT partner, agency, count(*) AS n FROM f WHERE signed >= TIMESTAMP '{AS_OF}' - INTERVAL 60 MONTH AND flag = 'R' GROUP BY 1, 2), tm AS (SELECT org, partner, count(*) AS n FROM f WHERE q = 50 GROUP BY 1, 2),
+    x AS (SELECT s_suppkey AS partner, bool_or(s_acctbal < -900 OR s_nationkey % 7 = 0) AS barred FROM supplier WHERE s_acctbal < 1000 GROUP BY 1), ov AS (SELECT DISTINCT org, partner FROM pc JOIN oc ON oc.code = pc.code),
+    m AS (SELECT DISTINCT request, partner FROM (SELECT request, partner FROM q JOIN s ON s.org = q.org UNION ALL SELECT request, f.partner FROM q JOIN f ON f.code = q.code WHERE f.q = 49 UNION ALL SELECT request, f.partner FROM q JOIN f ON f.agency = q.agency WHERE f.q = 46 AND f.l_tax > 0.079) z WHERE partner <> request % 50),
+    r AS (SELECT m.request, m.partner, EXISTS (SELECT 1 FROM pc WHERE pc.partner = m.partner) AS anyc, EXISTS (SELECT 1 FROM pc WHERE pc.partner = m.partner AND pc.code = q.code) AS p1, EXISTS (SELECT 1 FROM oc WHERE oc.org = q.org AND oc.code = q.code) AS o1,
+      EXISTS (SELECT 1 FROM pc WHERE pc.partner = m.partner AND left(pc.code, 2) = left(q.code, 2)) AS p2, EXISTS (SELECT 1 FROM oc WHERE oc.org = q.org AND left(oc.code, 2) = left(q.code, 2)) AS o2, ov.org IS NOT NULL AS ov, coalesce(aw.n, 0) AS na, coalesce(tm.n, 0) AS nt, t.type, upper(t.type) = upper(g.type) AS same, barred, q.agency, q.set_aside, s_nationkey <> 5 AS active
+      FROM m JOIN q ON q.request = m.request JOIN supplier ON s_suppkey = m.partner JOIN g ON g.org = q.org LEFT JOIN t ON t.partner = m.partner LEFT JOIN aw ON aw.partner = m.partner AND aw.agency = q.agency LEFT JOIN tm ON tm.org = q.org AND tm.partner = m.partner LEFT JOIN ov ON ov.org = q.org AND ov.partner = m.partner LEFT JOIN x ON x.partner = m.partner),
+    k AS (SELECT request, partner, CASE WHEN NOT anyc THEN 40 WHEN p1 AND NOT o1 THEN 100 WHEN p2 AND NOT o2 THEN 60 WHEN ov THEN 30 ELSE 60 END AS a, CASE WHEN agency IS NULL THEN 50 ELSE least(greatest(20 * na, 10), 100) END AS b, CASE WHEN nt >= 3 THEN 100 WHEN nt = 2 THEN 80 WHEN nt = 1 THEN 60 ELSE 20 END AS c,
+      CASE WHEN set_aside IS NULL THEN 80 WHEN type IS NULL THEN 50 WHEN type = 'a2' THEN 70 ELSE 40 END AS d, CASE WHEN type IS NULL THEN 20 WHEN same THEN 40 ELSE 100 END AS e, CASE WHEN coalesce(barred, false) THEN 0 WHEN NOT active THEN 20 WHEN barred IS NOT NULL THEN 30 ELSE 100 END AS f,
+      CAST(anyc AS INT) + CAST(agency IS NOT NULL AND na > 0 AS INT) + CAST(nt > 0 AS INT) + CAST(set_aside IS NULL OR type IS NOT NULL AS INT) + CAST(type IS NOT NULL AS INT) + 1 AS known FROM r),
+    w AS (SELECT *, CAST(round_even((25 * a + 25 * b + 15 * c + 15 * d + 10 * e + 10 * f) / 100.0, 0) AS INT) AS score FROM k), z AS (SELECT *, row_number() OVER (PARTITION BY request ORDER BY score DESC, partner) AS rank FROM w)
+    SELECT request, partner, score, CASE WHEN score >= 80 THEN 'Ideal' WHEN score >= 60 THEN 'Strong' WHEN score >= 40 THEN 'Acceptable' ELSE 'Poor' END AS category, CASE WHEN known >= 5 THEN 'High' WHEN known >= 3 THEN 'Medium' ELSE 'Low' END AS confidence, rank FROM z WHERE rank <= 10""")
+def partner_finder(t):
+    """The ten best partners for a request of each customer in credit, by all six factors."""
+    f = t.lineitem.join(t.orders, F.col("o_orderkey") == F.col("l_orderkey")).join(t.part, F.col("p_partkey") == F.col("l_partkey"))
+    f = f.selectExpr("l_suppkey AS partner", "o_custkey AS org", "o_orderpriority AS agency", "o_orderdate AS signed", "l_quantity AS q", "l_returnflag AS flag", "l_tax", f"{P_CODE} AS code")
+    requests = t.customer.where("c_acctbal > 0").selectExpr("c_custkey AS request", "c_custkey AS org", "CASE WHEN c_nationkey > 2 THEN concat(lpad(CAST(1 + c_custkey % 50 AS STRING), 2, '0'), 'Brand#', 1 + c_custkey % 25) END AS code", "CASE c_custkey % 3 WHEN 0 THEN '1-URGENT' WHEN 1 THEN '5-LOW' END AS agency", "CASE WHEN c_nationkey % 2 = 0 THEN 'SB' END AS set_aside")
+    own = requests.select("org", (F.col("org") % 50).alias("partner"))
+    pairs = pa.candidates(requests, f.where("q = 50").select("org", "partner"), f.where("q = 49").select("code", "partner"), f.where("q = 46 and l_tax > 0.079").select("agency", "partner"), own)
+    now = F.lit(AS_OF).cast("timestamp")
+    exclusions = t.supplier.where("s_acctbal < 1000").select(F.col("s_suppkey").alias("partner"), F.when(F.expr("NOT (s_acctbal < -900 OR s_nationkey % 7 = 0)"), now - F.expr("interval 1 day")).alias("ends"))
+    scored = pa.score_partners(
+        pairs, requests, f.where("q >= 48").select("partner", "code"), f.where("q = 47").select("org", "code"), f.where("flag = 'R'").select("partner", "agency", "signed"), f.where("q = 50").select("org", "partner"),
+        t.supplier.selectExpr("s_suppkey AS partner", f"{TYPE} AS type"), t.customer.selectExpr("c_custkey AS org", "CASE WHEN c_acctbal > 5000 THEN 'zz' ELSE 'Q' END AS type"), exclusions, t.supplier.selectExpr("s_suppkey AS partner", "s_nationkey <> 5 AS active"), F.add_months(now, -60), now,
+    )
+    return pa.best_partners(scored, 10).select("request", "partner", "score", "category", "confidence", "rank")
