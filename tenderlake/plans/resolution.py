@@ -110,7 +110,7 @@ LINK = "CASE l_returnflag WHEN 'R' THEN 'SISTER_SUBSIDIARY' WHEN 'A' THEN 'JV_PA
       count(*) FILTER (rel = 'TEAMING' OR (rel = 'JV_PARTNER' AND mpa)) AS x, sum(size) FILTER (rel = 'SISTER_SUBSIDIARY' OR (rel = 'JV_PARTNER' AND NOT mpa)) AS m FROM l GROUP BY 1),
     o AS (SELECT s_suppkey, CASE WHEN s_acctbal > 0 THEN CAST(floor(s_acctbal) AS BIGINT) END AS size, CASE WHEN s_nationkey > 0 THEN CAST(12000 AS BIGINT) END AS threshold FROM supplier)
     SELECT o.s_suppkey, size, threshold, coalesce(n, 0) AS n_affiliates, coalesce(u, 0) AS n_unknown, coalesce(x, 0) AS n_excluded, CAST(size + coalesce(m, 0) AS BIGINT) AS combined_size, size <= threshold AS small_alone,
-      size + coalesce(m, 0) <= threshold AS small_combined, coalesce(size <= threshold AND size + coalesce(m, 0) > threshold, false) AS flipped, round(100.0 * (threshold - size - coalesce(m, 0))::DOUBLE / threshold, 2) AS headroom_pct FROM o LEFT JOIN a ON a.s_suppkey = o.s_suppkey""")
+      size + coalesce(m, 0) <= threshold AS small_combined, coalesce(size <= threshold AND size + coalesce(m, 0) > threshold, false) AS flipped, sign(threshold - size - coalesce(m, 0)) * ((abs(threshold - size - coalesce(m, 0)) * 20000 + threshold) // (2 * threshold)) / 100.0 AS headroom_pct FROM o LEFT JOIN a ON a.s_suppkey = o.s_suppkey""")
 def affiliate_size(t):
     links = t.lineitem.selectExpr("l_suppkey AS s_suppkey", f"{LINK} AS relationship", "CASE WHEN l_linestatus = 'O' THEN 'Y' END AS mpa_approved", "CASE WHEN l_tax > 0 THEN CAST(l_quantity AS BIGINT) END AS affiliate_size")
     orgs = t.supplier.selectExpr("s_suppkey", "CASE WHEN s_acctbal > 0 THEN CAST(floor(s_acctbal) AS BIGINT) END AS size", "CASE WHEN s_nationkey > 0 THEN CAST(12000 AS BIGINT) END AS threshold")
