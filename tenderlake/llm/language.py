@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MULTIPLIER = 0x9E3779B1
+BROADCAST_LABELS = 10_000
 
 
 def grams(text: str, most: int, bits: int) -> np.ndarray:
@@ -65,7 +66,9 @@ def identify_language(
     """
     schema = "names array<string>, marks binary, weights binary"
     labelled = docs.where(learn_from & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    counts = labelled.groupBy(F.col(lang_col).alias("_lang")).agg(F.count(F.lit(1)).alias("_n"))  # one row a label: stays on the executors
+    counts = labelled.groupBy(F.col(lang_col).alias("_lang")).agg(F.count(F.lit(1)).alias("_n"))
+    if counts.count() <= BROADCAST_LABELS:  # one row a label; texts are then chosen where they are read
+        counts = F.broadcast(counts)
     draw = F.pmod(F.xxhash64(F.lit("language"), id_col), F.lit(1 << 30)) / float(1 << 30)
     sample = labelled.select(F.col(text_col).cast("string").alias("_t"), F.col(lang_col).alias("_lang"), draw.alias("_draw")).join(counts, "_lang").where(F.col("_draw") < F.lit(float(per_lang)) / F.col("_n"))
 
