@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from tenderlake.functions import columns as c
 from tenderlake.operators import changes as ch
 from tenderlake.operators import identifiers as ids
-from tenderlake.operators import relational as r
 from tenderlake.operators import relevance as rel
 from tenderlake.plans.catalogue import AS_OF, Tables, query
 
