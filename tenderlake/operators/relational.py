@@ -226,3 +226,26 @@ def forecast_band(df: DataFrame, by: Sequence[str], x: str, y: str, ahead: int,
     steps = fit.withColumn("step", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(ahead).cast("long")))).withColumn("expected", F.col("_i") + F.col("_s") * (F.col("_last") + F.col("step")))
     half = z * (1 + widen * F.col("step")) * F.col("_se")
     return steps.select(*by, "step", "expected", (F.col("expected") - half).alias("low"), (F.col("expected") + half).alias("high"))
+
+
+def concat_ranked(df: DataFrame, by: Sequence[str], value: str, order: Sequence[Column], sep: str = ", ") -> DataFrame:
+    """The distinct values of each group in the order of aggregates over their rows (least first), then of the value; no value is cut off."""
+    ranks = [o.alias(f"_{i}") for i, o in enumerate(order)]
+    once = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(*ranks)
+    listed = F.array_sort(F.collect_list(F.struct(*[f"_{i}" for i in range(len(ranks))], value)))
+    return once.groupBy(*by).agg(F.array_join(F.transform(listed, lambda x: x[value]), sep).alias("listed"))
+
+
+#: From which share of the greater count a difference is an error or a warning. Fixed values.
+DIFFERS = ((0.50, "ERROR"), (0.20, "WARNING"))
+
+
+def count_checks(checks: Sequence[tuple[str, str, DataFrame, str, DataFrame]]) -> DataFrame:
+    """``(check_id, source_a, n_a, source_b, n_b, difference, pct_difference, status)`` for checks of (id, name, rows, name, rows): how far two counts are apart."""
+    tags = lambda df, i, a, b, side: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(i).alias("check_id"), F.lit(a).alias("source_a"), F.lit(b).alias("source_b"), F.lit(side).alias("side"), "n")
+    rows = reduce(DataFrame.unionByName, [tags(df, i, a, b, side) for i, a, left, b, right in checks for side, df in (("a", left), ("b", right))])
+    both = rows.groupBy("check_id", "source_a", "source_b").agg(F.max(F.when(F.col("side") == "a", F.col("n"))).alias("n_a"), F.max(F.when(F.col("side") == "b", F.col("n"))).alias("n_b"))
+    gap, most = F.abs(F.col("n_a") - F.col("n_b")), F.greatest("n_a", "n_b")
+    share = F.when(most > 0, gap / most).otherwise(0.0)
+    status = reduce(lambda w, s: w.when(share > s[0], s[1]), DIFFERS, F.when(F.lit(False), "")).otherwise("OK")
+    return both.select("check_id", "source_a", "n_a", "source_b", "n_b", gap.alias("difference"), F.round(100.0 * share, 1).alias("pct_difference"), status.alias("status"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tenderlake.functions import columns as c
 from tenderlake.operators import changes as ch
 from tenderlake.operators import identifiers as ids
+from tenderlake.operators import relational as r
 from tenderlake.operators import relevance as rel
 from tenderlake.plans.catalogue import AS_OF, Tables, query
 
@@ -140,3 +141,31 @@ def view_past_performance_match(t):
     notices = t.part.where("p_size > 10").select(F.col("p_partkey").alias("notice_id"), F.col("p_brand").alias("code"), F.col("p_type").alias("agency"), F.when(F.col("p_size") % 5 > 0, F.col("p_retailprice")).alias("value"))
     own = line.where("l_tax < 0.01").select(F.col("l_suppkey").alias("org_id"), F.col("p_brand").alias("code")).distinct()
     return rel.most_relevant(past, notices, own, 100)
+
+
+@query("""WITH g AS (SELECT l_suppkey, p_brand, max(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS lead, count(*) AS n FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1, 2)
+    SELECT l_suppkey, string_agg(p_brand, ', ' ORDER BY lead DESC, n DESC, p_brand) AS listed FROM g GROUP BY 1""")
+def listed_by_rank(t):
+    """Every brand of a vendor, those with a mark first, then the most frequent."""
+    lines = t.lineitem.join(t.part, F.col("p_partkey") == F.col("l_partkey")).select("l_suppkey", "p_brand", "l_returnflag")
+    return r.concat_ranked(lines, ["l_suppkey"], "p_brand", [-F.max(F.when(F.col("l_returnflag") == "R", 1).otherwise(0)), -F.count(F.lit(1))])
+
+
+CHECKS = (
+    ("XSV-001", "suppliers", "SELECT s_suppkey FROM supplier", "suppliers in lines", "SELECT DISTINCT l_suppkey FROM lineitem"), ("XSV-002", "orders open", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O'", "orders closed", "SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'O'"),
+    ("XSV-003", "orders", "SELECT o_orderkey FROM orders", "orders in lines", "SELECT DISTINCT l_orderkey FROM lineitem"), ("XSV-004", "customers", "SELECT c_custkey FROM customer", "customers in orders", "SELECT DISTINCT o_custkey FROM orders"),
+    ("XSV-005", "lines without order", "SELECT l_orderkey FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)", "lines without part", "SELECT l_partkey FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part)"),
+)
+COUNTS = " UNION ALL ".join(f"SELECT '{i}' AS check_id, '{a}' AS source_a, (SELECT count(*) FROM ({x})) AS n_a, '{b}' AS source_b, (SELECT count(*) FROM ({y})) AS n_b" for i, a, x, b, y in CHECKS)
+
+
+@query(f"""WITH c AS ({COUNTS}), d AS (SELECT *, abs(n_a - n_b) AS difference, CASE WHEN greatest(n_a, n_b) > 0 THEN abs(n_a - n_b)::DOUBLE / greatest(n_a, n_b) ELSE 0 END AS share FROM c)
+    SELECT check_id, source_a, n_a, source_b, n_b, difference, round(100.0::DOUBLE * share, 1) AS pct_difference, CASE WHEN share > 0.5 THEN 'ERROR' WHEN share > 0.2 THEN 'WARNING' ELSE 'OK' END AS status FROM d""")
+def view_cross_source_checks(t):
+    """Five checks of counts against each other; rows without a partner by anti-joins."""
+    lines, orders, parts = t.lineitem, t.orders, t.part
+    sides = [
+        (t.supplier, lines.select("l_suppkey").distinct()), (orders.where("o_orderstatus = 'O'"), orders.where("o_orderstatus <> 'O'")), (orders, lines.select("l_orderkey").distinct()), (t.customer, orders.select("o_custkey").distinct()),
+        (lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left_anti"), lines.join(parts, F.col("l_partkey") == F.col("p_partkey"), "left_anti")),
+    ]
+    return r.count_checks([(i, a, x, b, y) for (i, a, _, b, _), (x, y) in zip(CHECKS, sides, strict=True)])

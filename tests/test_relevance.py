@@ -23,3 +23,15 @@ def test_most_relevant_equals_all_pairs(spark, k):
                 rows.append((-score, n, c == code, a == agency and a is not None, alike))
         want |= {(p, n, c, a, None if alike is None else round(alike + 1e-12, 2), round(-s + 1e-12, 1), i + 1) for i, (s, n, c, a, alike) in enumerate(sorted(rows)[:k])}
     assert {tuple(r) for r in got} == want
+
+
+def test_ranked_lists_keep_every_value(spark):
+    from pyspark.sql import functions as F
+
+    from tenderlake.operators.relational import concat_ranked, count_checks
+
+    df = spark.createDataFrame([("g", "b", 0), ("g", "a", 0), ("g", "a", 0), ("g", "c", 1), ("g", None, 1), ("h", "z", 0)], "g string, v string, lead int")
+    got = {r.g: r.listed for r in concat_ranked(df, ["g"], "v", [-F.max("lead"), -F.count(F.lit(1))]).collect()}
+    assert got == {"g": "c, a, b", "h": "z"}
+    checks = [("1", "a", spark.range(10), "b", spark.range(7)), ("2", "a", spark.range(0), "b", spark.range(0)), ("3", "a", spark.range(1), "b", spark.range(3)), ("4", "a", spark.range(5), "b", spark.range(5))]
+    assert sorted((r.check_id, r.difference, r.pct_difference, r.status) for r in count_checks(checks).collect()) == [("1", 3, 30.0, "WARNING"), ("2", 0, 0.0, "OK"), ("3", 2, 66.7, "ERROR"), ("4", 0, 0.0, "OK")]
