@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -10,17 +11,17 @@ from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` read back from the folder in ``spark.checkpoint.dir``: short lineage, and fixed rows for passes that must see the same ones.
+    """``df`` written to a table in the folder in ``spark.checkpoint.dir`` and read back: short lineage, and fixed rows for passes that must see the same ones.
 
     Where that is unset a temporary folder is used, but only on a local master.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not base and not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        context.setCheckpointDir(base or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    path = f"{(base or tempfile.mkdtemp(prefix='spark-')).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def same(a: DataFrame, b: DataFrame, keys: Sequence[str]):
