@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tenderlake.operators.relational import join_null_safe
+
 # Names of states and their codes.
 STATES = {
     "ALABAMA": "AL", "ALASKA": "AK", "ARIZONA": "AZ", "ARKANSAS": "AR", "CALIFORNIA": "CA", "COLORADO": "CO", "CONNECTICUT": "CT", "DELAWARE": "DE", "DISTRICT OF COLUMBIA": "DC", "FLORIDA": "FL", "GEORGIA": "GA", "HAWAII": "HI", "IDAHO": "ID",
@@ -82,9 +86,12 @@ def rates_of(determinations: DataFrame) -> DataFrame:
     return first.select("wd_number", "revision", "occupation_code", "_o.occupation_title", "_o.hourly_rate")
 
 
-def with_current(determinations: DataFrame) -> DataFrame:
-    """One row a number and revision, the newest of each number marked ``is_current``; a determination without a revision is the oldest."""
-    order = F.struct(F.coalesce("revision", F.lit(-1)))
-    newest = determinations.where(F.col("wd_number").isNotNull()).groupBy("wd_number").agg(F.max(order).alias("_n")).withColumnRenamed("wd_number", "_wd")
-    joined = determinations.join(newest, F.col("wd_number") == F.col("_wd"))
-    return joined.withColumn("is_current", F.coalesce("revision", F.lit(-1)) == F.col("_n.col1")).drop("_wd", "_n").dropDuplicates(["wd_number", "revision"])
+def with_current(determinations: DataFrame, keys: Sequence[str] = ("wd_number",)) -> DataFrame:
+    """One row of ``keys`` and a revision, the newest of each marked ``is_current``; a determination without a revision is the oldest.
+
+    ``keys`` tell determinations apart: where offices number theirs by themselves, the office is one of them. Rows without a number are left out.
+    """
+    known = determinations.where(F.col("wd_number").isNotNull())
+    newest = known.groupBy(*keys).agg(F.max(F.coalesce("revision", F.lit(-1))).alias("_n"))
+    joined = join_null_safe(known, newest, keys)
+    return joined.withColumn("is_current", F.coalesce("revision", F.lit(-1)) == F.col("_n")).drop("_n").dropDuplicates([*keys, "revision"])
