@@ -80,9 +80,16 @@ def scan_determinations(spark: SparkSession, path: str) -> DataFrame:
 
 
 def rates_of(determinations: DataFrame) -> DataFrame:
-    """``(wd_number, revision, occupation_code, occupation_title, hourly_rate)``: a row a rate with the key of its determination; of one code the first."""
-    rows = determinations.where(F.col("wd_number").isNotNull()).select("wd_number", "revision", F.posexplode("occupations").alias("_at", "_o"))
-    first = rows.groupBy("wd_number", "revision", F.col("_o.occupation_code").alias("occupation_code")).agg(F.min_by("_o", "_at").alias("_o"))
+    """``(wd_number, revision, occupation_code, occupation_title, hourly_rate)``: a row a rate with the key of its determination.
+
+    Of one code the first of its text counts; where several texts have one
+    number and revision, a rate before a note, then the least title and rate.
+    """
+    codes = F.transform("occupations", lambda o: o["occupation_code"])
+    once = F.filter("occupations", lambda o, i: F.array_position(codes, o["occupation_code"]) == i + 1)
+    rows = determinations.where(F.col("wd_number").isNotNull()).select("wd_number", "revision", F.explode(once).alias("_o"))
+    order = F.struct(F.col("_o.hourly_rate").isNull(), "_o.occupation_title", "_o.hourly_rate")
+    first = rows.groupBy("wd_number", "revision", F.col("_o.occupation_code").alias("occupation_code")).agg(F.min_by("_o", order).alias("_o"))
     return first.select("wd_number", "revision", "occupation_code", "_o.occupation_title", "_o.hourly_rate")
 
 

@@ -28,7 +28,7 @@ def same(spark, folder: str, name: str) -> bool:
     return got == want
 
 
-@pytest.mark.parametrize("name", ["wage_determinations"])
+@pytest.mark.parametrize("name", ["wage_determinations", "wage_rates"])
 def test_numbers_of_determinations_come_again(spark, tmp_path, name):
     orders = "select * replace (o_custkey % 20 + 90000 * (o_orderkey % 4) as o_custkey) from orders"
     folder = tables(tmp_path, orders=orders, lineitem="select * replace (l_partkey % 3 as l_partkey) from lineitem")
