@@ -33,3 +33,16 @@ def test_numbers_of_determinations_come_again(spark, tmp_path, name):
     orders = "select * replace (o_custkey % 20 + 90000 * (o_orderkey % 4) as o_custkey) from orders"
     folder = tables(tmp_path, orders=orders, lineitem="select * replace (l_partkey % 3 as l_partkey) from lineitem")
     assert same(spark, folder, name)
+
+
+@pytest.mark.parametrize("name", ["any_key_pairs"])
+def test_pairs_are_made_once_and_not_shuffled(spark, tmp_path, name):
+    """Keys that come again with other nations, and rows that come twice; what is shuffled are rows, not pairs."""
+    again = "select * from {0} union all select * from {0} union all select * replace ({1} % 3 as {1}) from {0}"
+    folder = tables(tmp_path, supplier=again.format("supplier", "s_nationkey"), customer=again.format("customer", "c_nationkey"))
+    if name == "exclusion_scan":  # the SQL of the other one gives a pair for each pair of rows
+        assert same(spark, folder, name)
+    assert same(spark, DATA, name)
+    plan = catalogue.QUERIES[name](spark, folder)._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    joins = [i for i, line in enumerate(plan) if "Join" in line]
+    assert not any("Aggregate" in line for line in plan[: joins[0]])
