@@ -21,9 +21,10 @@ def exclusion_check(t):
 
 @query("""SELECT DISTINCT c_custkey, s_suppkey FROM customer JOIN supplier ON s_nationkey = c_nationkey WHERE s_acctbal < 5000 AND c_acctbal > 9000""")
 def exclusion_scan(t):
-    """Team members that are on a list: one equi-join."""
-    listed = t.supplier.where("s_acctbal < 5000").select(F.col("s_nationkey").alias("c_nationkey"), "s_suppkey")
-    return t.customer.where("c_acctbal > 9000").join(listed, "c_nationkey").select("c_custkey", "s_suppkey").distinct()
+    """Team members that are on a list: all pairs of a nation, each made once."""
+    listed = t.supplier.where("s_acctbal < 5000").select(F.col("s_nationkey").alias("nation"), "s_suppkey")
+    team = t.customer.where("c_acctbal > 9000").select("c_custkey", F.col("c_nationkey").alias("nation"))
+    return r.any_key_join(team.select("c_custkey"), listed, "c_custkey", [team], "nation")
 
 
 @query(f"""SELECT l_suppkey, count(*) AS n, count(DISTINCT l_partkey) AS parts, CAST(sum({PRICE}) AS DOUBLE) AS value, string_agg(DISTINCT l_returnflag, ', ' ORDER BY l_returnflag) AS flags FROM lineitem GROUP BY 1 HAVING count(*) >= 2 ORDER BY value DESC, l_suppkey LIMIT 25""")

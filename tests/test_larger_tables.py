@@ -35,7 +35,7 @@ def test_numbers_of_determinations_come_again(spark, tmp_path, name):
     assert same(spark, folder, name)
 
 
-@pytest.mark.parametrize("name", ["any_key_pairs"])
+@pytest.mark.parametrize("name", ["any_key_pairs", "exclusion_scan"])
 def test_pairs_are_made_once_and_not_shuffled(spark, tmp_path, name):
     """Keys that come again with other nations, and rows that come twice; what is shuffled are rows, not pairs."""
     again = "select * from {0} union all select * from {0} union all select * replace ({1} % 3 as {1}) from {0}"
