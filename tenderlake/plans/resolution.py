@@ -11,14 +11,25 @@ from tenderlake.operators import names as nm
 from tenderlake.plans.catalogue import Tables, query
 
 VENDOR = "upper(concat(p_name, ' ', p_type, ' ', replace(p_brand, '#', '-')))"
-TEXT = f"""concat('The work is ', CASE l_returnflag WHEN 'R' THEN 'currently performed by ' WHEN 'A' THEN 'known; incumbent contractor: ' ELSE 'new, and the incumbent is ' END,
-    CASE WHEN l_quantity < 3 THEN 'The Best Vendor' WHEN l_quantity < 5 THEN 'Question' WHEN l_discount > 0.07 THEN upper(concat(p_name, ' ', p_type)) ELSE {VENDOR} END,
-    CASE WHEN l_tax < 0.01 THEN '(1) of it' WHEN l_tax < 0.02 THEN ' staff on site' WHEN l_linestatus = 'O' THEN ', Inc. since then' ELSE '.' END, ' It will be awarded to Whoever is cheapest.')"""
+INTRO = "CASE l_returnflag WHEN 'R' THEN 'currently performed by ' WHEN 'A' THEN 'known; incumbent contractor: ' ELSE 'new, and the incumbent is ' END"
+TAIL = "CASE WHEN l_tax < 0.01 THEN '(1) of it' WHEN l_tax < 0.02 THEN ' staff on site' WHEN l_linestatus = 'O' THEN ', Inc. since then' ELSE '.' END"
+SHORT = "upper(concat(p_name, ' ', p_type))"
+TEXT = f"""concat('The work is ', {INTRO},
+    CASE WHEN l_quantity < 3 THEN 'The Best Vendor' WHEN l_quantity < 5 THEN 'Question' WHEN l_discount > 0.07 THEN {SHORT} ELSE {VENDOR} END,
+    {TAIL}, ' It will be awarded to Whoever is cheapest.')"""
+KEYS = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
 
 def attachments(t: Tables):
-    """A document for each order line, which tells of the vendor of its part; the order is the notice."""
-    return t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).selectExpr("concat(l_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey) AS doc", "l_orderkey", "l_linenumber", f"{TEXT} AS text")
+    """``(doc, l_orderkey, l_linenumber, text)``: a document for each order line, once, which tells of the vendor of its part; the order is the notice.
+
+    Lines and vendors are made distinct by what a text takes from them, so no texts are shuffled.
+    """
+    kind = "CASE WHEN l_quantity < 3 THEN 0 WHEN l_quantity < 5 THEN 1 WHEN l_discount > 0.07 THEN 2 ELSE 3 END AS kind"
+    lines = t.lineitem.selectExpr(*KEYS, kind, f"{INTRO} AS intro", f"{TAIL} AS tail").distinct()
+    names = F.array(*[F.struct(F.lit(i).alias("kind"), F.expr(v).alias("vendor")) for i, v in enumerate(("'The Best Vendor'", "'Question'", SHORT, VENDOR))])
+    vendors = t.part.select(F.col("p_partkey").alias("l_partkey"), F.inline(names)).distinct()
+    return lines.join(vendors, ["l_partkey", "kind"]).selectExpr("concat(l_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey) AS doc", "l_orderkey", "l_linenumber", "concat('The work is ', intro, vendor, tail, ' It will be awarded to Whoever is cheapest.') AS text")
 
 
 PATTERN = inc.Capture().pattern().replace("'", "''")
@@ -32,13 +43,12 @@ CAPTURED = f"""d AS (SELECT DISTINCT concat(l_orderkey, '-', l_linenumber, '-',
 
 
 def captured(t: Tables):
-    docs = attachments(t).distinct()
-    return inc.capture_names(docs, "doc", "text").join(docs.select("doc", "l_orderkey", "l_linenumber").distinct(), "doc")
+    return inc.capture_names(attachments(t), "doc", "text", carry=("l_orderkey", "l_linenumber"))
 
 
 @query(f"WITH {CAPTURED} SELECT doc, name, count(*) AS n FROM n GROUP BY ALL")
 def incumbent_capture(t):
-    return inc.capture_names(attachments(t).distinct(), "doc", "text").groupBy("doc", "name").agg(F.count(F.lit(1)).alias("n"))
+    return inc.capture_names(attachments(t), "doc", "text").groupBy("doc", "name").agg(F.count(F.lit(1)).alias("n"))
 
 
 SETTLED = """v AS (SELECT l_orderkey, lower(trim(name)) AS key, count(*) AS votes, sum(CASE WHEN l_linenumber = 1 THEN 3 ELSE 1 END) AS weight, min(name) AS name FROM n GROUP BY 1, 2),
