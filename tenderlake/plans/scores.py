@@ -8,6 +8,7 @@ from tenderlake.functions import columns as c
 from tenderlake.operators import estimates as es
 from tenderlake.operators import partners as pa
 from tenderlake.operators import scoring as s
+from tenderlake.operators.scale import cut
 from tenderlake.plans.catalogue import AS_OF, n_rows, query
 
 #: Order priorities stand for set-asides, customer segments for certificates.
@@ -225,11 +226,13 @@ def partner_finder(t):
     f = f.selectExpr("l_suppkey AS partner", "o_custkey AS org", "o_orderpriority AS agency", "o_orderdate AS signed", "l_quantity AS q", "l_returnflag AS flag", "l_tax", f"{P_CODE} AS code")
     requests = t.customer.where("c_acctbal > 0").selectExpr("c_custkey AS request", "c_custkey AS org", "CASE WHEN c_nationkey > 2 THEN concat(lpad(CAST(1 + c_custkey % 50 AS STRING), 2, '0'), 'Brand#', 1 + c_custkey % 25) END AS code", "CASE c_custkey % 3 WHEN 0 THEN '1-URGENT' WHEN 1 THEN '5-LOW' END AS agency", "CASE WHEN c_nationkey % 2 = 0 THEN 'SB' END AS set_aside")
     own = requests.select("org", (F.col("org") % 50).alias("partner"))
-    pairs = pa.candidates(requests, f.where("q = 50").select("org", "partner"), f.where("q = 49").select("code", "partner"), f.where("q = 46 and l_tax > 0.079").select("agency", "partner"), own)
+    f = cut(f.where("q >= 46 or flag = 'R'"))
     now = F.lit(AS_OF).cast("timestamp")
     exclusions = t.supplier.where("s_acctbal < 1000").select(F.col("s_suppkey").alias("partner"), F.when(F.expr("NOT (s_acctbal < -900 OR s_nationkey % 7 = 0)"), now - F.expr("interval 1 day")).alias("ends"))
-    scored = pa.score_partners(
-        pairs, requests, f.where("q >= 48").select("partner", "code"), f.where("q = 47").select("org", "code"), f.where("flag = 'R'").select("partner", "agency", "signed"), f.where("q = 50").select("org", "partner"),
-        t.supplier.selectExpr("s_suppkey AS partner", f"{TYPE} AS type"), t.customer.selectExpr("c_custkey AS org", "CASE WHEN c_acctbal > 5000 THEN 'zz' ELSE 'Q' END AS type"), exclusions, t.supplier.selectExpr("s_suppkey AS partner", "s_nationkey <> 5 AS active"), F.add_months(now, -60), now,
-    )
-    return pa.best_partners(scored, 10).select("request", "partner", "score", "category", "confidence", "rank")
+    facts = {
+        "partner_codes": f.where("q >= 48").select("partner", "code"), "org_codes": f.where("q = 47").select("org", "code"), "awards": f.where("flag = 'R'").select("partner", "agency", "signed"), "subawards": f.where("q = 50").select("org", "partner"),
+        "partner_types": t.supplier.selectExpr("s_suppkey AS partner", f"{TYPE} AS type"), "org_types": t.customer.selectExpr("c_custkey AS org", "CASE WHEN c_acctbal > 5000 THEN 'zz' ELSE 'Q' END AS type"), "exclusions": exclusions,
+        "entities": t.supplier.selectExpr("s_suppkey AS partner", "s_nationkey <> 5 AS active"), "since": F.add_months(now, -60), "now": now,
+    }
+    best = pa.find_partners(requests, f.where("q = 50").select("org", "partner"), f.where("q = 49").select("code", "partner"), f.where("q = 46 and l_tax > 0.079").select("agency", "partner"), own, facts, 10)
+    return best.select("request", "partner", "score", "category", "confidence", "rank")

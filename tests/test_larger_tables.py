@@ -8,6 +8,8 @@ from test_catalogue import DATA, rows
 
 from tenderlake.plans import catalogue
 
+SMALL = "/root/testdata/sf0.01"
+
 
 def tables(folder: Path, **changed: str) -> str:
     """A folder of the smallest tables, those in ``changed`` replaced by what their SQL selects."""
@@ -59,3 +61,18 @@ def test_incumbents_on_lines_and_names_that_repeat(spark, tmp_path, name):
     below = plan[plan.index("regexp_extract_all") :] if name != "incumbent_entity" else plan[plan.rindex("regexp_extract_all") :]
     above = plan[: plan.index("regexp_extract_all")]
     assert below.count("Join") == 1 and (name == "incumbent_entity" or "Join" not in above)
+
+
+@pytest.mark.parametrize(("first", "wider"), [(10, 2), (32, 16)])
+def test_partners_are_found_without_all_pairs(spark, monkeypatch, first, wider):
+    """As from all pairs and as from SQL, also when most requests need several rounds; the pairs scored at first are ``first`` a request and those of subawards."""
+    from tenderlake.operators import partners as pa
+
+    find, score, scored = pa.find_partners, pa.score_partners, []
+    monkeypatch.setattr(pa, "find_partners", lambda *a: find(*a, first=first, wider=wider))
+    monkeypatch.setattr(pa, "score_partners", lambda pairs, *a, **k: scored.append((k.get("alone"), pairs)) or score(pairs, *a, **k))
+    assert same(spark, SMALL, "partner_finder")
+    pairs = [df for alone, df in scored if not alone]
+    assert (len(pairs) > 1) == (first == 10)
+    asked = spark.read.parquet(f"{SMALL}/customer.parquet").where("c_acctbal > 0").count()
+    assert pairs[0].count() <= (first + 10) * asked
