@@ -76,3 +76,12 @@ def test_partners_are_found_without_all_pairs(spark, monkeypatch, first, wider):
     assert (len(pairs) > 1) == (first == 10)
     asked = spark.read.parquet(f"{SMALL}/customer.parquet").where("c_acctbal > 0").count()
     assert pairs[0].count() <= (first + 10) * asked
+
+
+def test_pairs_of_a_small_file_are_made_in_many_tasks(spark):
+    from pyspark.sql import functions as F
+
+    pairs = catalogue.QUERIES["disjunctive_similarity"](spark, SMALL)
+    by_task = pairs.groupBy(F.spark_partition_id().alias("task")).count().toPandas()["count"]
+    assert len(by_task) > 12 and by_task.max() < by_task.sum() / 8
+    assert same(spark, SMALL, "disjunctive_similarity")
