@@ -22,22 +22,46 @@ def parent_of_history(history: Column, is_top: Column, fallbacks: Sequence[Colum
     return F.when(F.coalesce(is_top, F.lit(False)), F.lit(None).cast("string")).otherwise(F.coalesce(F.when(of_path != "", of_path), *filled))
 
 
+def leaps(step: DataFrame) -> list[DataFrame] | None:
+    """``(node, ancestor)`` tables of each node's ancestor 1, 2, 4, 8, ... steps up, as long as any has one; None if a node has two parents or a cycle is met."""
+    n, children = step.agg(F.count(F.lit(1)), F.count_distinct("node")).first()
+    if n != children:
+        return None
+    out = [step]
+    while 1 << len(out) - 1 <= n:  # a way of more steps than there are edges is in a cycle
+        up = out[-1].select(F.col("node").alias("ancestor"), F.col("ancestor").alias("_far"))
+        out.append(cut(out[-1].join(up, "ancestor").select("node", F.col("_far").alias("ancestor"))))
+        if out[-1].isEmpty():
+            return out[:-1]
+    return None if n else out
+
+
 def ancestors(edges: DataFrame, child: str, parent: str) -> DataFrame:
     """``(node, ancestor, depth)``: every ancestor of every node, nearest way, to any depth.
 
-    Known ways are joined with each other, so a depth of n takes log2(n)
-    rounds. A cycle ends by itself, since no pair is kept twice: each of its
-    nodes is then its own ancestor, which tells it. Edges with a null end or
-    to the node itself are left out.
+    Ways of up to 2 ** i steps are joined to those of exactly so many, so a
+    depth of n takes log2(n) rounds. In a forest that makes each way once, and
+    none is gathered again. Elsewhere the nearest of several ways is kept; a
+    cycle ends by itself: each of its nodes is then its own ancestor, which
+    tells it. Edges with a null end or to the node itself are left out.
     """
     step = edges.where(F.col(child).isNotNull() & F.col(parent).isNotNull() & (F.col(child) != F.col(parent)))
     known = cut(step.select(F.col(child).alias("node"), F.col(parent).alias("ancestor"), F.lit(1).cast("long").alias("depth")).distinct())
-    n, before = known.count(), -1
-    while n != before:
-        on = known.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("_far"), F.col("depth").alias("_more"))
-        longer = known.join(on, "ancestor").select("node", F.col("_far").alias("ancestor"), (F.col("depth") + F.col("_more")).alias("depth"))
-        known = cut(known.unionByName(longer).groupBy("node", "ancestor").agg(F.min("depth").alias("depth")))
-        n, before = known.count(), n
+
+    def longer(leap: DataFrame, reach: int) -> DataFrame:
+        on = known.select(F.col("node").alias("_mid"), F.col("ancestor").alias("_far"), "depth")
+        return leap.select("node", F.col("ancestor").alias("_mid")).join(on, "_mid").select("node", F.col("_far").alias("ancestor"), (F.col("depth") + reach).alias("depth"))
+
+    tree = leaps(known.select("node", "ancestor"))
+    if tree is not None:
+        for i, leap in enumerate(tree):
+            known = known.unionByName(cut(longer(leap, 1 << i)))
+        return known
+    reach, leap = 1, known
+    while not leap.isEmpty():
+        known = cut(known.unionByName(longer(leap, reach)).groupBy("node", "ancestor").agg(F.min("depth").alias("depth")))
+        reach *= 2
+        leap = known.where(F.col("depth") == reach)
     return known
 
 
@@ -56,9 +80,9 @@ def rolled_up(nodes: DataFrame, key: str, parent: str, value: str) -> DataFrame:
 
 
 def chain(ways: DataFrame, sep: str = ".") -> DataFrame:
-    """``(node, path)``: the ancestors from the top down to the node; as many as the node's depth meet in a row."""
+    """``(node, path, depth)``: the ancestors from the top down to the node; as many as the node's depth meet in a row."""
     listed = F.array_sort(F.collect_list(F.struct((-F.col("depth")).alias("d"), F.col("ancestor").cast("string").alias("a"))))
-    return ways.where("node != ancestor").groupBy("node").agg(F.concat_ws(sep, F.transform(listed, lambda x: x["a"]), F.col("node").cast("string")).alias("path"))
+    return ways.where("node != ancestor").groupBy("node").agg(F.concat_ws(sep, F.transform(listed, lambda x: x["a"]), F.col("node").cast("string")).alias("path"), F.max("depth").alias("depth"))
 
 
 #: Relationships whose size counts as one's own. Fixed values.

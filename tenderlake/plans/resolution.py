@@ -98,7 +98,7 @@ def revision_chain(t):
     """Each order as the revision of its customer's order before: all that went before it, first to last."""
     before = F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
     ways = hi.ancestors(t.orders.select(F.col("o_orderkey").alias("node"), before.alias("parent")), "node", "parent")
-    return hi.chain(ways).join(ways.groupBy("node").agg(F.max("depth").alias("depth")), "node")
+    return hi.chain(ways)
 
 
 @query("""WITH h AS (SELECT o_custkey, arg_max(CASE WHEN o_orderstatus = 'P' THEN CAST(o_custkey AS VARCHAR) ELSE concat('1.', o_orderkey % 7, '.', o_custkey) END, strftime(o_orderdate, '%Y-%m-%d') || lpad(CAST(o_orderkey AS VARCHAR), 12, '0')) AS path FROM orders GROUP BY 1)

@@ -58,6 +58,28 @@ def test_ancestors_of_any_depth_and_of_cycles(spark):
     assert rolled == {0: (0, 4, 5, False), 1: (1, 3, 4, False), 2: (2, 2, 3, False), 3: (3, 1, 2, False), 4: (4, 0, 1, False), 8: (1, 1, 30, True), 9: (1, 1, 30, True)}
 
 
+def test_ways_of_a_forest_are_made_once(spark, monkeypatch):
+    cut, made = hi.cut, []
+    monkeypatch.setattr(hi, "cut", lambda df: made.append(cut(df)) or made[-1])
+    edges = spark.createDataFrame([(i, i - 1) for i in range(1, 64)], "c int, p int")
+    ways = hi.ancestors(edges, "c", "p")
+    assert {(r.node, r.ancestor, r.depth) for r in ways.collect()} == {(i, j, i - j) for i in range(64) for j in range(i)}
+    assert ways.count() == 2016 and sum(df.count() for df in made) <= 2016 + 6 * 64
+
+
+def test_nearest_of_several_ways(spark):
+    edges = {(i, i - k) for i in range(1, 40) for k in (1, 3, 7) if i >= k and (i * k) % 5} | {(0, 39)}
+    want = {}
+    for start in range(40):
+        at, depth = {start}, 0
+        while at:
+            depth += 1
+            at = {p for c, p in edges if c in at} - {a for n, a in want if n == start}
+            want |= {(start, a): depth for a in at}
+    got = hi.ancestors(spark.createDataFrame(sorted(edges), "c int, p int"), "c", "p").collect()
+    assert len(got) == len(want) and {(r.node, r.ancestor): r.depth for r in got} == want
+
+
 def test_parent_of_history(spark):
     schema = "kind string, h array<struct<effectivedate:string,fhfullparentpathid:string>>, dept string, injected string"
     rows = [("top", [("2024", "1.2.3")], "9", None), ("sub", [("2020", "1.5.3"), None, ("2024", "1.2.3"), (None, "7.7.7")], "9", None), ("sub", [("2024", "3")], "9", "8"), ("sub", [], "", "8"), ("sub", None, None, None), (None, [("2024", "1.4")], None, None)]
