@@ -119,10 +119,14 @@ def view_contracting_office_profile(t):
 
 @query("""SELECT a AS src, b AS dst, count(*) AS n FROM (SELECT l_suppkey AS a, o_custkey AS b FROM lineitem JOIN orders ON o_orderkey = l_orderkey UNION ALL SELECT o_custkey, l_suppkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey) GROUP BY 1, 2""")
 def view_teaming_network(t):
-    """Edges in both directions: counted once, then mirrored."""
-    rows = t.lineitem.join(t.orders, F.col("o_orderkey") == F.col("l_orderkey")).groupBy(F.col("l_suppkey").alias("src"), F.col("o_custkey").alias("dst")).agg(n_rows().alias("n"))
-    both = rows.unionByName(rows.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
-    return both.groupBy("src", "dst").agg(F.sum("n").alias("n"))
+    """Edges in both directions, which have equal counts: counted by the pair without its direction, then mirrored; no edge is aggregated twice."""
+    rows = t.lineitem.join(t.orders, F.col("o_orderkey") == F.col("l_orderkey")).select("l_suppkey", "o_custkey")
+    turn = F.col("l_suppkey").isNotNull() & F.coalesce(F.col("l_suppkey") > F.col("o_custkey"), F.lit(True))  # null is the least
+    pair = rows.groupBy(F.when(turn, F.col("o_custkey")).otherwise(F.col("l_suppkey")).alias("p"), F.when(turn, F.col("l_suppkey")).otherwise(F.col("o_custkey")).alias("q")).agg(n_rows().alias("n"))
+    loop = F.col("p").eqNullSafe(F.col("q"))
+    edge = lambda src, dst, n: F.struct(F.col(src).alias("src"), F.col(dst).alias("dst"), n.alias("n"))
+    ways = F.when(loop, F.array(edge("p", "q", 2 * F.col("n")))).otherwise(F.array(edge("p", "q", F.col("n")), edge("q", "p", F.col("n"))))
+    return pair.select(F.inline(ways))
 
 
 @query(f"""SELECT o_orderkey, c_name, strftime(o_orderdate, '%Y-%m-%d') AS due, date_diff('day', DATE '{AS_OF}', CAST(o_orderdate AS DATE)) AS days_left FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderstatus IN ('O', 'P') AND o_orderdate >= {NOW} AND o_orderdate < {NOW} + INTERVAL 90 DAY""")

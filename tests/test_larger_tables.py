@@ -85,3 +85,13 @@ def test_pairs_of_a_small_file_are_made_in_many_tasks(spark):
     by_task = pairs.groupBy(F.spark_partition_id().alias("task")).count().toPandas()["count"]
     assert len(by_task) > 12 and by_task.max() < by_task.sum() / 8
     assert same(spark, SMALL, "disjunctive_similarity")
+
+
+def test_edges_are_aggregated_once(spark, tmp_path):
+    """Suppliers and customers of the same keys, of their own, and of none."""
+    line = "select * replace (case when l_orderkey % 11 = 0 then null else l_suppkey % 7 end as l_suppkey) from lineitem"
+    order = "select * replace (case when o_orderkey % 13 = 0 or o_orderkey % 11 = 0 and o_orderkey % 2 = 0 then null else o_custkey % 9 end as o_custkey) from orders"
+    folder = tables(tmp_path, lineitem=line, orders=order)
+    assert same(spark, folder, "view_teaming_network")
+    plan = catalogue.QUERIES["view_teaming_network"](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1
