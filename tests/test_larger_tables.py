@@ -95,3 +95,15 @@ def test_edges_are_aggregated_once(spark, tmp_path):
     assert same(spark, folder, "view_teaming_network")
     plan = catalogue.QUERIES["view_teaming_network"](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Aggregate") == 1
+
+
+def test_similar_parts_are_paired_once(spark, tmp_path):
+    """Columns with nulls and with one value; no pair is made twice, so none is made distinct."""
+    part = "select p_partkey, p_name, case when p_partkey % 5 = 0 then null else p_brand end as p_brand, case when p_partkey % 3 = 0 then null else 'ONE' end as p_type, p_size % 4 as p_size, p_retailprice from part"
+    folder = tables(tmp_path, part=part)
+    con = duckdb.connect()
+    want = con.sql(f"""select * from (select *, row_number() over (partition by a_key order by score desc, b_key) as rank from (select a.p_partkey as a_key, b.p_partkey as b_key,
+        40 * coalesce(a.p_brand = b.p_brand, false)::int + 25 * coalesce(a.p_type = b.p_type, false)::int + 20 * coalesce(a.p_size = b.p_size, false)::int as score from '{folder}/part.parquet' a join '{folder}/part.parquet' b on a.p_partkey <> b.p_partkey) where score > 0) where rank <= 10""").fetchall()
+    got = catalogue.QUERIES["similar_parts"](spark, folder)
+    assert sorted((r.a_key, r.b_key, r.score, r["rank"]) for r in got.select("a_key", "b_key", "score", "rank").collect()) == sorted(want)
+    assert "Aggregate" not in got._jdf.queryExecution().optimizedPlan().toString()
