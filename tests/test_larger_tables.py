@@ -119,3 +119,13 @@ def test_pairs_with_lines_of_several_years_are_shuffled_once(spark, tmp_path, na
     assert same(spark, DATA, name)
     plan = catalogue.QUERIES[name](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
     assert "count(distinct y" not in plan
+
+
+@pytest.mark.parametrize("name", ["view_partner_capability_match", "mart_partner_capability_refresh"])
+def test_capabilities_of_lines_without_part_order_or_date(spark, tmp_path, name):
+    """A side that a line has no partner on takes nothing from the other ones; some vendors have no line since the mart, some have such lines alone."""
+    line = """select * replace (case when l_linenumber % 5 = 0 then l_partkey + 100000 else l_partkey end as l_partkey, case when l_linenumber % 4 = 0 then -1 else l_orderkey end as l_orderkey,
+        case when l_orderkey % 7 = 0 then null when l_suppkey % 3 = 0 then least(l_shipdate, timestamp '2001-05-01') else l_shipdate end as l_shipdate) from lineitem"""
+    folder = tables(tmp_path, lineitem=line)
+    assert same(spark, folder, name)
+    assert same(spark, SMALL, name)
