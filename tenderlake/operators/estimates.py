@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from bisect import insort
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from tenderlake.functions.columns import bucket
 from tenderlake.operators.relational import top_k
@@ -65,7 +68,45 @@ def newest_of(notices: DataFrame, group: str, key: str, posted: str) -> DataFram
     return top_k(notices.withColumn("_mark", mark), ["_mark"], [F.desc(posted), F.desc(key)], 1).drop("_mark", "rank")
 
 
-def recommend(codes: DataFrame, notices: DataFrame, certs: DataFrame, org: str, code: str, notice: str, required: str, k: int, fixed: Column, varying: Column, least: float, most: float) -> DataFrame:
+def climb(df: DataFrame, by: Sequence[str], value: str, notice: str, k: int) -> DataFrame:
+    """The rows of ``df`` that are ever among the ``k`` best of their group (by ``_fixed``, then the least notice) as the group is gone through by rising value, nulls last, with ``_to`` and ``_top``.
+
+    ``_to`` is the value of the row that put one out, and ``_top`` tells those
+    that are left at the end, the best of the whole group. Ranges of a group
+    are thinned out first, so that a group's last pass holds few of its rows.
+    """
+    fields = df.schema.fieldNames()
+
+    def rows(last: bool):
+        def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at, best = None, []
+            rank = lambda r: (r["_fixed"] is None, -(r["_fixed"] or 0), r[notice])
+            told = lambda r, to, top: {**r, "_to": to, "_top": top} if last else r
+            schema = None
+            for batch in batches:
+                schema = schema or (batch.schema.append(pa.field("_to", batch.schema.field(value).type)).append(pa.field("_top", pa.bool_())) if last else batch.schema)
+                out = []
+                for r in batch.to_pylist():
+                    group = [r[x] for x in by]
+                    if group != at:
+                        out += [told(b, None, True) for b in best]
+                        at, best = group, []
+                    insort(best, r, key=rank)
+                    if len(best) > k and (gone := best.pop()) is not r:
+                        out.append(told(gone, r[value], False))
+                yield pa.RecordBatch.from_pylist(out, schema)
+            if best:
+                yield pa.RecordBatch.from_pylist([told(b, None, True) for b in best], schema)
+
+        return go
+
+    order = [*by, F.asc_nulls_last(value)]
+    few = df.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(rows(False), df.schema)
+    full = StructType([*df.schema.fields, StructField("_to", df.schema[value].dataType), StructField("_top", BooleanType())])
+    return few.select(*fields).repartition(*by).sortWithinPartitions(*order).mapInArrow(rows(True), full)
+
+
+def recommend(codes: DataFrame, notices: DataFrame, certs: DataFrame, org: str, code: str, notice: str, required: str, k: int, fixed: Column, varying: Column, least: float, most: float, below: tuple[str, str] | None = None) -> DataFrame:
     """``(org, notice, score, rank)``: the ``k`` best notices of each organisation among those of its codes, of which it has the required certificate.
 
     ``score`` is ``fixed``, of the notice's columns alone, plus ``varying``, of
@@ -73,13 +114,24 @@ def recommend(codes: DataFrame, notices: DataFrame, certs: DataFrame, org: str,
     one code and requirement, whoever has ``k`` others over it by more than
     ``most - least`` in ``fixed`` is among nobody's best, so it is left out
     before the join. Nothing else is: ties are settled by the least notice.
+
+    If ``varying`` takes from the notice only whether its first column of
+    ``below`` is less than the organisation's second one, and is no less where
+    it is, an organisation's best of a code and requirement are among the
+    ``k`` best in ``fixed`` and the ``k`` best of those that are less: no other
+    pair is made, however many notices a code has.
     """
     scored = notices.where(F.col(code).isNotNull()).withColumn("_fixed", fixed)
-    kth = top_k(scored, [code, required], [F.desc("_fixed"), F.asc(notice)], k).groupBy(F.col(code).alias("_code"), F.col(required).alias("_req")).agg(F.min("_fixed").alias("_kth"), F.count(F.lit(1)).alias("_n"))
-    kept = scored.join(kth, (F.col(code) == F.col("_code")) & F.col(required).eqNullSafe(F.col("_req"))).where((F.col("_n") < k) | (F.col("_fixed") + most >= F.col("_kth") + least)).drop("_code", "_req", "_kth", "_n")
-    held = certs.select(F.col(org).alias("_org"), F.col(certs.columns[1]).alias("_cert")).distinct()
-    met = codes.join(kept, code)
-    free = met.where(F.col(required).isNull())
-    gated = met.where(F.col(required).isNotNull()).join(held, (F.col(org) == F.col("_org")) & (F.col(required) == F.col("_cert")), "left_semi")
-    rows = free.unionByName(gated).select(org, notice, (F.col("_fixed") + varying).alias("score"))
-    return top_k(rows, [org], [F.desc("score"), F.asc(notice)], k)
+    if below:
+        kept = climb(scored, [code, required], below[0], notice, k).withColumnRenamed(code, "_code")
+        less = F.col(below[0]) < F.col(below[1])
+        able = F.col("_top") | (less & (F.col("_to").isNull() | (F.col(below[1]) <= F.col("_to"))))
+    else:
+        kth = top_k(scored, [code, required], [F.desc("_fixed"), F.asc(notice)], k).groupBy(F.col(code).alias("_code"), F.col(required).alias("_req")).agg(F.min("_fixed").alias("_kth"), F.count(F.lit(1)).alias("_n"))
+        kept = scored.join(kth, (F.col(code) == F.col("_code")) & F.col(required).eqNullSafe(F.col("_req"))).where((F.col("_n") < k) | (F.col("_fixed") + most >= F.col("_kth") + least)).drop(code, "_req", "_kth", "_n")
+        able = F.lit(True)
+    held = certs.groupBy(F.col(org).alias("_org")).agg(F.collect_set(certs.columns[1]).alias("_certs"))
+    none = F.array(F.lit(None).cast(held.schema["_certs"].dataType.elementType))
+    wants = codes.join(held, F.col(org) == F.col("_org"), "left").withColumn("_cert", F.explode(F.concat(none, F.coalesce("_certs", F.array())))).drop("_certs")
+    met = wants.join(kept, (F.col(code) == F.col("_code")) & F.col("_cert").eqNullSafe(F.col(required)) & able)
+    return top_k(met.select(org, notice, (F.col("_fixed") + varying).alias("score")), [org], [F.desc("score"), F.asc(notice)], k)

@@ -204,7 +204,7 @@ def recommend_notices(t):
     line = t.lineitem.join(t.part.select("p_partkey", "p_brand"), F.col("p_partkey") == F.col("l_partkey"))
     codes = es.candidate_codes([line.where("l_quantity = 50"), line.where("l_quantity = 49"), line.where("l_discount > 0.09")], "l_suppkey", "p_brand").join(t.supplier, F.col("s_suppkey") == F.col("l_suppkey"))
     certs = t.lineitem.where("l_tax > 0.079").select("l_suppkey", "l_returnflag")
-    return es.recommend(codes, notices, certs, "l_suppkey", "p_brand", "p_partkey", "need", 10, F.expr(FIXED), F.expr(VARYING), 15, 50)
+    return es.recommend(codes, notices, certs, "l_suppkey", "p_brand", "p_partkey", "need", 10, F.expr(FIXED), F.expr(VARYING), 15, 50, ("p_retailprice", "s_acctbal"))
 
 
 P_CODE = "concat(lpad(CAST(p_size AS STRING), 2, '0'), p_brand)"

@@ -129,3 +129,18 @@ def test_capabilities_of_lines_without_part_order_or_date(spark, tmp_path, name)
     folder = tables(tmp_path, lineitem=line)
     assert same(spark, folder, name)
     assert same(spark, SMALL, name)
+
+
+def test_recommended_notices_are_met_without_all_pairs(spark, tmp_path, monkeypatch):
+    """Every part a solicitation of its own, prices that balances fall between, equal prices and none; a code's pairs are at most twice the best."""
+    from tenderlake.operators import estimates as es
+
+    top, seen = es.top_k, []
+    monkeypatch.setattr(es, "top_k", lambda df, keys, *a: seen.append((keys, df)) or top(df, keys, *a))
+    part = """select * replace (p_partkey::varchar as p_name, 'Brand#' || p_partkey % 2 as p_brand, case when p_partkey % 5 = 0 then 'PROMO' else 'SMALL' end as p_type,
+        case when p_partkey % 9 > 0 then (p_partkey * 7919 % 101) * 100.0 - 500 end as p_retailprice) from (select * from part union all select * replace (p_partkey + 1000 as p_partkey) from part union all select * replace (p_partkey + 2000 as p_partkey) from part)"""
+    folder = tables(tmp_path, part=part, supplier="select * replace (case when s_suppkey % 5 > 0 then s_acctbal end as s_acctbal) from supplier")
+    assert same(spark, folder, "recommend_notices")
+    pairs = next(df for keys, df in reversed(seen) if keys == ["l_suppkey"])
+    assert pairs.count() <= 2 * 10 * 2 * 2 * spark.read.parquet(f"{folder}/supplier.parquet").count()
+    assert same(spark, SMALL, "recommend_notices")
