@@ -89,15 +89,24 @@ def competition_statistics(t):
 LINES = """WITH l AS (SELECT l_suppkey, l_partkey, p_brand, o_custkey, c_nationkey, CAST(year(l_shipdate) AS BIGINT) AS y, CAST(l_extendedprice AS DECIMAL(15,2)) AS v, l_returnflag FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN part ON p_partkey = l_partkey)"""
 
 
-def several_years():
-    """Whether a group has lines of two years or more; unlike a count of distinct years it needs no shuffle of its own."""
-    return F.min("y") < F.max("y")
+def lines(t):
+    """Lines with their part's brand and their order's customer; orders meet customers first, so lines are dealt by order once."""
+    line = t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey", F.year("l_shipdate").alias("y"), c.money(F.col("l_extendedprice")).alias("v"), "l_returnflag")
+    owners = t.orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey").join(t.customer.select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey")
+    rows = line.join(t.part.select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey").join(owners, "l_orderkey")
+    return rows.select("l_suppkey", "l_partkey", "p_brand", "o_custkey", "c_nationkey", F.col("y").cast("long").alias("y"), "v", "l_returnflag")
 
 
-def lines(t):
-    rows = t.lineitem.join(t.orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
-    rows = rows.join(t.customer.select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey").join(t.part.select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey")
-    return rows.select("l_suppkey", "l_partkey", "p_brand", "o_custkey", "c_nationkey", F.year("l_shipdate").cast("long").alias("y"), c.money(F.col("l_extendedprice")).alias("v"), "l_returnflag")
+def whole(hundredths):
+    return (hundredths.cast("decimal(20,0)") * F.lit("0.01").cast("decimal(2,2)")).cast("double")
+
+
+def by_second_keys(rows, key, sides):
+    """Rows counted by ``key`` and each of several second keys in one pass: for each of ``sides``, of a number or a text and the columns it takes, its groups with the first and last ``y``, ``n`` and the sum of ``v``, in hundredths, since sums of decimals are three times as wide in a shuffle."""
+    kinds = {"number": "bigint", "text": "string", "y": "int", "v": "bigint"}
+    taken = [F.struct(F.lit(i).alias("side"), *[(side[x] if x in side else F.lit(None)).cast(kind).alias(x) for x, kind in kinds.items()]) for i, side in enumerate(sides)]
+    out = rows.select(key, F.inline(F.array(*taken)))
+    return out.groupBy(key, "side", "number", "text").agg(F.min("y").alias("first"), F.max("y").alias("last"), n_rows().alias("n"), F.sum("v").alias("v"))
 
 
 @query(f"""{LINES}, y AS (SELECT l_suppkey, o_custkey, count(DISTINCT y) AS years FROM l GROUP BY 1, 2), r AS (SELECT l_suppkey, 100.0 * count(*) FILTER (years >= 2) / count(*) AS kept FROM y GROUP BY 1),
@@ -108,12 +117,15 @@ def lines(t):
     + 0.2 * coalesce(least(100.0, CASE WHEN top > 50 THEN 90.0 WHEN top > 30 THEN 70.0 WHEN top > 10 THEN 50.0 WHEN top IS NOT NULL THEN 30.0 END + CASE WHEN m >= 10 THEN 10 WHEN m >= 5 THEN 5 ELSE 0 END), 0), 2) AS strength
     FROM supplier LEFT JOIN a ON a.l_suppkey = s_suppkey LEFT JOIN r ON r.l_suppkey = s_suppkey LEFT JOIN k ON k.l_suppkey = s_suppkey""")
 def score_competitor_strength(t):
-    """Each part is aggregated by vendor and a second key first, so no vendor's rows meet in one task."""
-    rows = lines(t)
-    kept = rows.groupBy("l_suppkey", "o_custkey").agg(several_years().alias("again")).groupBy("l_suppkey").agg((100.0 * F.count_if("again") / n_rows()).alias("kept"))
-    top = rows.groupBy("l_suppkey", "p_brand").agg(n_rows().alias("n")).groupBy("l_suppkey").agg((100.0 * F.max("n") / F.sum("n")).alias("top"), F.max("n").alias("m"))
-    sums = rows.groupBy("l_suppkey").agg(F.sum("v").cast("double").alias("value"), F.count_distinct("c_nationkey").alias("nations"), F.bool_or(F.col("c_nationkey") == 3).alias("knows"), F.count_distinct("l_returnflag").alias("kinds"), F.bool_or(F.col("l_returnflag") == "R").alias("asked"))
-    out = t.supplier.select(F.col("s_suppkey"), F.col("s_suppkey").alias("l_suppkey")).join(sums.join(kept, "l_suppkey").join(top, "l_suppkey"), "l_suppkey", "left")
+    """All is aggregated by vendor and a second key first, in one pass over the lines, so no vendor's rows meet in one task."""
+    year, nation, flag = F.col("y"), F.col("c_nationkey"), F.col("l_returnflag")
+    groups = by_second_keys(lines(t), "l_suppkey", [{"number": F.col("o_custkey"), "y": year}, {"text": F.col("p_brand")}, {"number": nation}, {"text": flag, "v": F.col("v") * 100}])
+    of = lambda side, x: F.when(F.col("side") == side, x)
+    sums = groups.groupBy("l_suppkey").agg(
+        (100.0 * F.count_if((F.col("side") == 0) & (F.col("first") < F.col("last"))) / F.count_if(F.col("side") == 0)).alias("kept"), (100.0 * F.max(of(1, F.col("n"))) / F.sum(of(1, F.col("n")))).alias("top"), F.max(of(1, F.col("n"))).alias("m"), whole(F.sum("v")).alias("value"),
+        F.count(of(2, F.col("number"))).alias("nations"), F.bool_or(of(2, F.col("number") == 3)).alias("knows"), F.count(of(3, F.col("text"))).alias("kinds"), F.bool_or(of(3, F.col("text") == "R")).alias("asked"),
+    )
+    out = t.supplier.select(F.col("s_suppkey"), F.col("s_suppkey").alias("l_suppkey")).join(sums, "l_suppkey", "left")
     factors = {
         "revenue": s.revenue_strength(F.col("value")), "penetration": s.agency_penetration(F.col("nations"), F.col("knows")), "certificates": s.certificate_strength(F.col("kinds"), F.col("asked")),
         "retention": s.retention_strength(F.col("kept"), F.lit(0)), "concentration": s.concentration_strength(F.col("top"), F.col("m")),
@@ -132,7 +144,7 @@ def score_open_door(t):
     from tenderlake.operators import relational as r
 
     rows = lines(t)
-    pair = rows.groupBy("o_custkey", "l_suppkey").agg(several_years().alias("again"), F.sum("v").alias("v"))
+    pair = rows.groupBy("o_custkey", "l_suppkey").agg((F.min("y") < F.max("y")).alias("again"), F.sum("v").alias("v"))
     small = F.coalesce(F.sum(F.when(F.col("l_suppkey") < 50, F.col("v"))).cast("double"), F.lit(0.0))
     a = pair.groupBy("o_custkey").agg(n_rows().alias("subs"), (100.0 * F.count_if("again") / n_rows()).alias("kept"), (100.0 * small / F.sum("v").cast("double")).alias("small"))
     b = rows.groupBy("o_custkey").agg(F.count_distinct("p_brand").alias("brands"), (F.sum("v").cast("double") / n_rows()).alias("mean"))

@@ -144,3 +144,10 @@ def test_recommended_notices_are_met_without_all_pairs(spark, tmp_path, monkeypa
     pairs = next(df for keys, df in reversed(seen) if keys == ["l_suppkey"])
     assert pairs.count() <= 2 * 10 * 2 * 2 * spark.read.parquet(f"{folder}/supplier.parquet").count()
     assert same(spark, SMALL, "recommend_notices")
+
+
+def test_second_keys_are_counted_in_one_pass(spark):
+    """Lines are read and joined once for all second keys of a vendor."""
+    plan = catalogue.QUERIES["score_competitor_strength"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [l_orderkey") == 1
+    assert same(spark, SMALL, "score_competitor_strength")
