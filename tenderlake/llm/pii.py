@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -114,18 +115,18 @@ def features(text: str, kind: str, start: int, end: int) -> list[int]:
     ]
 
 
-def grow_trees(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, rate: float = 0.3, least: float = 4.0) -> np.ndarray:
+def grow_trees(x: np.ndarray, y: np.ndarray, n: np.ndarray, trees: int = 40, depth: int = 3, rate: float = 0.3, least: float = 4.0) -> np.ndarray:
     """Boosted trees for the logistic loss over integer features under 16: rows of feature, cut and leaf value, by node.
 
-    Each tree is complete: a node sends rows with ``feature > cut`` right.
+    Each tree is complete: a node sends rows with ``feature > cut`` right. A row counts ``n`` times.
     """
     nodes = 2 ** (depth + 1) - 1
     out = np.zeros((trees, nodes, 3))
-    score = np.full(len(y), np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
+    score = np.full(len(y), np.log(((n * y).sum() + 1) / ((n * (1 - y)).sum() + 1)))
     bias = score[0] if len(y) else 0.0
     for tree in out:
         p = 1 / (1 + np.exp(-score))
-        g, h = y - p, p * (1 - p)
+        g, h = n * (y - p), n * p * (1 - p)
         at = np.zeros(len(y), np.int64)
         for node in range(nodes):
             mine = at == node
@@ -163,21 +164,25 @@ def tree_scores(model: np.ndarray, x: np.ndarray) -> np.ndarray:
 CAUTIOUS = 0.95
 
 
-def fit(x: np.ndarray, y: np.ndarray, fold: np.ndarray, precision: float) -> tuple[np.ndarray, list[float]]:
+def fit(x: np.ndarray, y: np.ndarray, fold: np.ndarray, precision: float, n: np.ndarray | None = None) -> tuple[np.ndarray, list[float]]:
     """Trees from three quarters of the rows; the last quarter sets each kind's threshold.
 
     A threshold is the lowest score from which that share of the held-out
     candidates is personal data. A kind with fewer than ten hits to tell it by
     takes that of all kinds together, and ``CAUTIOUS`` if they are too few as well.
+    A row counts ``n`` times, once by default.
     """
-    model = grow_trees(x[fold != 0], y[fold != 0])
-    p, kinds, hit = tree_scores(model, x[fold == 0]), x[fold == 0][:, 0], y[fold == 0]
+    n = np.ones(len(y)) if n is None else n
+    model = grow_trees(x[fold != 0], y[fold != 0], n[fold != 0])
+    p, kinds, hit, times = tree_scores(model, x[fold == 0]), x[fold == 0][:, 0], (n * y)[fold == 0], n[fold == 0]
 
     def cut(mine: np.ndarray) -> float | None:
         order = np.argsort(-p[mine], kind="stable")
         hits = np.cumsum(hit[mine][order])
-        good = np.flatnonzero((hits >= precision * np.arange(1, len(order) + 1)) & (hits >= 10))
-        return max(0.5, float(p[mine][order][good[-1]])) if len(good) else None
+        scores = p[mine][order]
+        ends = np.append(scores[1:] != scores[:-1], True)[: len(scores)]  # rows of one score are in together
+        good = np.flatnonzero(ends & (hits >= precision * np.cumsum(times[mine][order])) & (hits >= 10))
+        return max(0.5, float(scores[good[-1]])) if len(good) else None
 
     together = cut(np.ones(len(p), bool))
     cuts = [cut(kinds == kind) for kind in range(len(KINDS))]
@@ -263,35 +268,33 @@ def examples(text: str) -> Iterator[tuple[list[int], bool, str]]:
                             yield features(around, k, c, d), good, text[a:b]
 
 
-def train_model(docs: DataFrame, sample: int, precision: float):
-    """Trees and thresholds from about ``sample`` texts, or None if they hold no candidates.
+def train_model(docs: DataFrame, precision: float):
+    """Trees and thresholds from all texts, or None if they hold no candidates.
 
     They learn from ``examples``: base spans of the texts in wider forms
-    against candidates with contrary evidence.
+    against candidates with contrary evidence. Examples are small integers that
+    come again and again, so they are counted by value where the texts are, and
+    one task learns from the distinct ones and their counts.
     """
-    n = docs.count()
-    draw = F.pmod(F.xxhash64(F.lit("pii"), "_text"), F.lit(1 << 30)) / float(1 << 30)
-    chosen = docs.where(draw < min(1.0, sample / max(n, 1)))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, truth, folds = [], [], []
+            counts: Counter = Counter()
             for text in batch.column(1):
-                for x, y, span in examples(text.as_py() or ""):
-                    rows.append(bytes(x))
-                    truth.append(y)
-                    folds.append(hashlib.md5(span.encode("utf-8", "surrogatepass")).digest()[0] % 4)
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), pa.array(truth, pa.bool_()), pa.array(folds, pa.int32())], ["x", "y", "fold"])
+                counts.update((bytes(x), y, hashlib.md5(span.encode("utf-8", "surrogatepass")).digest()[0] % 4) for x, y, span in examples(text.as_py() or ""))
+            x, y, fold = zip(*counts, strict=True) if counts else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), pa.array(y, pa.bool_()), pa.array(fold, pa.int32()), pa.array(counts.values(), pa.int64())], ["x", "y", "fold", "n"])
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sorted(r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
-        if not rows:
+        parts = [(np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint8).reshape(-1, N_FEATURES), *(c.to_numpy(zero_copy_only=False) for c in b.columns[1:])) for b in batches if b.num_rows]
+        if not parts:
             return
-        x = np.frombuffer(b"".join(r[0] for r in rows), np.uint8).reshape(-1, N_FEATURES).astype(np.int64)
-        model, cuts = fit(x, np.array([float(r[1]) for r in rows]), np.array([r[2] for r in rows]), precision)
+        x, y, fold, n = (np.concatenate(p) for p in zip(*parts, strict=True))
+        model, cuts = fit(x, y.astype(float), fold, precision, n.astype(float))
         yield pa.RecordBatch.from_arrays([pa.array([model.tobytes()]), pa.array([cuts])], ["trees", "cuts"])
 
-    return chosen.mapInArrow(describe, "x binary, y boolean, fold int").repartition(1).mapInArrow(train, "trees binary, cuts array<double>").first()
+    found = docs.mapInArrow(describe, "x binary, y boolean, fold int, n long").groupBy("x", "y", "fold").agg(F.sum("n").alias("n"))
+    return found.repartition(1).sortWithinPartitions("x", "y", "fold").mapInArrow(train, "trees binary, cuts array<double>").first()
 
 
 def select(text: str, trees: np.ndarray | None, cuts: list[float]) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
@@ -307,7 +310,7 @@ def select(text: str, trees: np.ndarray | None, cuts: list[float]) -> tuple[list
     return base, added
 
 
-def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 40_000, precision: float = 0.97, redact: bool = True, carry: Sequence[str] = ()) -> DataFrame:
+def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", precision: float = 0.97, redact: bool = True, carry: Sequence[str] = ()) -> DataFrame:
     """Per row: its id, counts by kind, digest of the base spans, all spans as text, and the redacted text.
 
     Spans are ``kind:start:end`` in code points, end exclusive, by kind and
@@ -315,11 +318,11 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     is its kind in brackets. Null text counts as empty; repeated rows give
     repeated results; null ids pass through, and so do the columns to
     ``carry``, in a struct ``_row``; other columns are not read; an empty
-    table gives an empty table. ``sample`` bounds the texts that the model
-    learns from; without any there is no model, and base spans alone are found.
+    table gives an empty table. The model learns from all texts; without any
+    there is no model, and base spans alone are found.
     """
     own = docs.select(F.col(id_col).cast("long").alias("_doc"), F.col(text_col).cast("string").alias("_text"), *carried(docs, carry))
-    model = train_model(own.select("_doc", "_text"), sample, precision)
+    model = train_model(own.select("_doc", "_text"), precision)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees = np.frombuffer(model["trees"]).reshape(-1, 15, 3) if model else None

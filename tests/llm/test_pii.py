@@ -43,3 +43,20 @@ def test_wide_forms_are_added(found, kind, form):
 def test_contrary_evidence_adds_nothing(found, form):
     text, row = found[form]
     assert (row.spans, row.redacted) == ("", text)
+
+
+def test_the_model_learns_from_all_texts(spark, monkeypatch):
+    """More texts than it once drew: what it learns from counts every one, and equal examples weigh as if listed one by one."""
+    import numpy as np
+
+    from tenderlake.llm import pii
+
+    counts = spark.range(41_000).selectExpr("id AS _doc", "concat('mail a', id % 7, '@mail.example.com now') AS _text")
+    each = len(list(pii.examples("mail a1@mail.example.com now")))
+    monkeypatch.setattr(pii, "fit", lambda x, y, fold, precision, n: (np.zeros((40, 15, 3)), [float(n.sum())] * 4))
+    assert pii.train_model(counts, 0.97)["cuts"][0] == 41_000 * each > 0
+    monkeypatch.undo()
+    rng = np.random.default_rng(3)
+    x, y, fold, n = rng.integers(0, 4, (300, 5)), rng.integers(0, 2, 300).astype(float), np.arange(300) % 4, rng.integers(1, 6, 300)
+    (a, b), (c, d) = pii.fit(x, y, fold, 0.5, n.astype(float)), pii.fit(*(np.repeat(v, n, 0) for v in (x, y, fold)), 0.5)
+    assert np.allclose(a, c) and np.allclose(b, d)
