@@ -151,3 +151,9 @@ def test_second_keys_are_counted_in_one_pass(spark):
     plan = catalogue.QUERIES["score_competitor_strength"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation [l_orderkey") == 1
     assert same(spark, SMALL, "score_competitor_strength")
+
+
+def test_past_performance_joins_lines_to_parts_once(spark):
+    got = catalogue.QUERIES["view_past_performance_match"](spark, DATA)
+    assert "Relation [l_orderkey" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert same(spark, DATA, "view_past_performance_match")
