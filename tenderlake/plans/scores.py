@@ -102,10 +102,16 @@ def whole(hundredths):
 
 
 def by_second_keys(rows, key, sides):
-    """Rows counted by ``key`` and each of several second keys in one pass: for each of ``sides``, of a number or a text and the columns it takes, its groups with the first and last ``y``, ``n`` and the sum of ``v``, in hundredths, since sums of decimals are three times as wide in a shuffle."""
+    """Rows counted by ``key``, where it is known, and each of several second keys: for each of ``sides``, of a number or a text and the columns it takes, its groups with the first and last ``y``, ``n`` and the sum of ``v``, in hundredths.
+
+    Rows are dealt by ``key`` once, as they are, and made into one for each
+    side after that, so neither the sides nor what is aggregated from them by
+    ``key`` is shuffled.
+    """
     kinds = {"number": "bigint", "text": "string", "y": "int", "v": "bigint"}
     taken = [F.struct(F.lit(i).alias("side"), *[(side[x] if x in side else F.lit(None)).cast(kind).alias(x) for x, kind in kinds.items()]) for i, side in enumerate(sides)]
-    out = rows.select(key, F.inline(F.array(*taken)))
+    slices = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out = rows.where(F.col(key).isNotNull()).repartition(slices, key).select(key, F.inline(F.array(*taken)))
     return out.groupBy(key, "side", "number", "text").agg(F.min("y").alias("first"), F.max("y").alias("last"), n_rows().alias("n"), F.sum("v").alias("v"))
 
 
@@ -117,7 +123,7 @@ def by_second_keys(rows, key, sides):
     + 0.2 * coalesce(least(100.0, CASE WHEN top > 50 THEN 90.0 WHEN top > 30 THEN 70.0 WHEN top > 10 THEN 50.0 WHEN top IS NOT NULL THEN 30.0 END + CASE WHEN m >= 10 THEN 10 WHEN m >= 5 THEN 5 ELSE 0 END), 0), 2) AS strength
     FROM supplier LEFT JOIN a ON a.l_suppkey = s_suppkey LEFT JOIN r ON r.l_suppkey = s_suppkey LEFT JOIN k ON k.l_suppkey = s_suppkey""")
 def score_competitor_strength(t):
-    """All is aggregated by vendor and a second key first, in one pass over the lines, so no vendor's rows meet in one task."""
+    """All is aggregated by vendor and a second key first, in one pass over the lines."""
     year, nation, flag = F.col("y"), F.col("c_nationkey"), F.col("l_returnflag")
     groups = by_second_keys(lines(t), "l_suppkey", [{"number": F.col("o_custkey"), "y": year}, {"text": F.col("p_brand")}, {"number": nation}, {"text": flag, "v": F.col("v") * 100}])
     of = lambda side, x: F.when(F.col("side") == side, x)

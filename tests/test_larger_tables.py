@@ -153,6 +153,25 @@ def test_second_keys_are_counted_in_one_pass(spark):
     assert same(spark, SMALL, "score_competitor_strength")
 
 
+@pytest.mark.parametrize(("name", "key"), [("score_competitor_strength", "l_suppkey")])
+def test_lines_are_dealt_by_key_before_they_are_multiplied(spark, tmp_path, name, key):
+    """Lines without a vendor or a part, values of none and a vendor with half of all lines; besides the joins nothing but the lines themselves is shuffled."""
+    line = """select * replace (case when l_orderkey % 7 = 0 then null when l_orderkey % 2 = 0 then 3 else l_suppkey end as l_suppkey, case when l_linenumber % 5 = 0 then l_partkey + 100000 else l_partkey end as l_partkey,
+        case when l_orderkey % 11 = 0 then null else l_extendedprice end as l_extendedprice) from lineitem"""
+    folder = tables(tmp_path, lineitem=line, part="select * replace (case when p_partkey % 4 = 0 then null else p_brand end as p_brand) from part")
+    assert same(spark, folder, name)
+    assert same(spark, SMALL, name)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = catalogue.QUERIES[name](spark, folder)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    dealt = [row for row in plan.split("\n") if "Exchange hashpartitioning" in row]
+    assert len(dealt) == (2 if name == "score_competitor_strength" else 1) and all(f"hashpartitioning({key}" in row for row in dealt)  # the former's vendors too
+    assert plan.index("Generate") < plan.index("REPARTITION_BY_NUM")
+    assert plan.count("Scan parquet") == (5 if name == "score_competitor_strength" else 4)
+
+
 def test_past_performance_joins_lines_to_parts_once(spark):
     got = catalogue.QUERIES["view_past_performance_match"](spark, DATA)
     assert "Relation [l_orderkey" not in got._jdf.queryExecution().optimizedPlan().toString()
