@@ -147,17 +147,17 @@ def score_competitor_strength(t):
     SELECT o_custkey, score, CASE WHEN score >= 80 THEN 'Champion' WHEN score >= 60 THEN 'Engaged' WHEN score >= 40 THEN 'Minimal' ELSE 'Closed' END AS level FROM p""")
 def score_open_door(t):
     """Customers stand for primes, suppliers for subcontractors; those with keys under 50 are the small ones."""
-    from tenderlake.operators import relational as r
-
-    rows = lines(t)
-    pair = rows.groupBy("o_custkey", "l_suppkey").agg((F.min("y") < F.max("y")).alias("again"), F.sum("v").alias("v"))
-    small = F.coalesce(F.sum(F.when(F.col("l_suppkey") < 50, F.col("v"))).cast("double"), F.lit(0.0))
-    a = pair.groupBy("o_custkey").agg(n_rows().alias("subs"), (100.0 * F.count_if("again") / n_rows()).alias("kept"), (100.0 * small / F.sum("v").cast("double")).alias("small"))
-    b = rows.groupBy("o_custkey").agg(F.count_distinct("p_brand").alias("brands"), (F.sum("v").cast("double") / n_rows()).alias("mean"))
-    years = r.top_k(rows.groupBy("o_custkey", "y").agg(n_rows().alias("n")), ["o_custkey"], [F.desc("y")], 2)
-    h = years.groupBy("o_custkey").agg(F.max(F.when(F.col("rank") == 1, F.col("n"))).alias("n1"), F.max(F.when(F.col("rank") == 2, F.col("n"))).alias("n2"))
+    groups = by_second_keys(lines(t), "o_custkey", [{"number": F.col("l_suppkey"), "y": F.col("y"), "v": F.col("v") * 100}, {"text": F.col("p_brand")}, {"number": F.col("y")}])
+    of = lambda side, x: F.when(F.col("side") == side, x)
+    subs, value, year = F.count_if(F.col("side") == 0), whole(F.sum("v")), of(2, F.struct("number", "n"))
+    small = F.coalesce(whole(F.sum(of(0, F.when(F.col("number") < 50, F.col("v"))))), F.lit(0.0))
+    a = groups.groupBy("o_custkey").agg(
+        subs.alias("subs"), (100.0 * F.count_if((F.col("side") == 0) & (F.col("first") < F.col("last"))) / subs).alias("kept"), (100.0 * small / value).alias("small"),
+        F.count(of(1, F.col("text"))).alias("brands"), (value / F.sum(of(0, F.col("n")))).alias("mean"), F.sort_array(F.collect_list(year), False).alias("years"),
+    )
+    a = a.select("*", *[F.get("years", F.lit(i))["n"].alias(f"n{i + 1}") for i in range(2)])
     f = s.open_door_factors(F.col("small"), F.col("subs"), F.col("mean"), F.col("kept"), F.col("brands"), 100.0 * (F.col("n1") - F.col("n2")) / F.col("n2"))
-    out = a.join(b, "o_custkey").join(h, "o_custkey").select("o_custkey", s.total_points(f, s.OPEN_DOOR_WEIGHTS, 2).alias("score"))
+    out = a.select("o_custkey", s.total_points(f, s.OPEN_DOOR_WEIGHTS, 2).alias("score"))
     return out.withColumn("level", c.bucket(F.col("score"), s.OPEN_DOOR_LEVELS, "Closed"))
 
 

@@ -153,7 +153,7 @@ def test_second_keys_are_counted_in_one_pass(spark):
     assert same(spark, SMALL, "score_competitor_strength")
 
 
-@pytest.mark.parametrize(("name", "key"), [("score_competitor_strength", "l_suppkey")])
+@pytest.mark.parametrize(("name", "key"), [("score_competitor_strength", "l_suppkey"), ("score_open_door", "o_custkey")])
 def test_lines_are_dealt_by_key_before_they_are_multiplied(spark, tmp_path, name, key):
     """Lines without a vendor or a part, values of none and a vendor with half of all lines; besides the joins nothing but the lines themselves is shuffled."""
     line = """select * replace (case when l_orderkey % 7 = 0 then null when l_orderkey % 2 = 0 then 3 else l_suppkey end as l_suppkey, case when l_linenumber % 5 = 0 then l_partkey + 100000 else l_partkey end as l_partkey,
